@@ -19,7 +19,7 @@ def polygons(spark, rings=RINGS):
 
 @query("crop", """
 select run, cast((i-8)/3 as int) as i, cast((j-6)/3 as int) as j, x, y, z from cells
-where i between 8 and 53 and (i-8)%3=0 and j between 6 and 45 and (j-6)%3=0""")
+where i between 8 and 50 and (i-8)%3=0 and j between 6 and 42 and (j-6)%3=0""")
 def _(fx):
     return P.crop(fx.cells, fx.grids, (10.0, 50.0, 8.0, 42.0), coarsen=3, buffer=1, align=(2.5, 0.5))
 
