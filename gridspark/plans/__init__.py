@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = (
-    "filters", "fields", "joins",
+    "filters", "fields", "joins", "aggs",
 )
 
 
