@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = (
-    "filters", "fields", "joins", "aggs",
+    "filters", "fields", "joins", "aggs", "series",
 )
 
 
