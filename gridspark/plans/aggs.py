@@ -90,30 +90,30 @@ def _(fx):
 
 
 MASS_SQL = """c as (select *, sqrt(hu*hu+hv*hv) as speed from frames), a as (select run, frame, min(t) as t, sum(hu*4) as signed_volume, sum(greatest(hu,0)*4) as positive_volume,
- sum(case when hu>=0.05 and speed>0.25 then greatest(hu,0)*4 else 0 end) as moving_volume, max(case when hu>=0.05 then speed else 0 end) as max_speed, 1 as max_level from c group by run, frame)"""
+ sum(case when hu>=0.05 and speed>0.0625 then greatest(hu,0)*4 else 0 end) as moving_volume, max(case when hu>=0.05 then speed else 0 end) as max_speed, 1 as max_level from c group by run, frame)"""
 
 
 @query("mass_history", "with " + MASS_SQL + """ select *, signed_volume-positive_volume as negative_volume, moving_volume/(select p.positive_volume from a p where p.run=a.run and p.frame=0) as moving_fraction from a""")
 def _(fx):
     c = fx.frames.withColumn("speed", F.sqrt(F.col("hu") * F.col("hu") + F.col("hv") * F.col("hv"))).withColumn("h", F.col("hu"))
-    return A.mass_history(c, moving=0.25, area=4.0)
+    return A.mass_history(c, moving=0.0625, area=4.0)
 
 
 @query("mass_history_on_patches", """with ac as (select *, dx*dy as area, sqrt(hu*hu+hv*hv) as speed from pcx where not (level=1 and x between 16 and 48 and y between 10 and 35)),
-a as (select run, frame, min(t) as t, sum(h*area) as signed_volume, sum(h*area) as positive_volume, sum(case when h>=0.05 and speed>0.25 then h*area else 0 end) as moving_volume, max(case when h>=0.05 then speed else 0 end) as max_speed, max(level) as max_level from ac group by run, frame)
+a as (select run, frame, min(t) as t, sum(h*area) as signed_volume, sum(h*area) as positive_volume, sum(case when h>=0.05 and speed>0.0625 then h*area else 0 end) as moving_volume, max(case when h>=0.05 then speed else 0 end) as max_speed, max(level) as max_level from ac group by run, frame)
 select *, 0e0 as negative_volume, moving_volume/(select p.positive_volume from a p where p.run=a.run and p.frame=0) as moving_fraction from a""")
 def _(fx):
     geo = fx.patches.select("run", "frame", "patch", "dx", "dy")
     c = S.active_cells(fx.patch_cells, fx.patches).join(geo, ["run", "frame", "patch"])
     c = c.withColumn("speed", F.sqrt(F.col("hu") * F.col("hu") + F.col("hv") * F.col("hv")))
-    return A.mass_history(c, moving=0.25, area=F.col("dx") * F.col("dy"))
+    return A.mass_history(c, moving=0.0625, area=F.col("dx") * F.col("dy"))
 
 
 def _bands_sql() -> str:
     cols, shares = [], []
     for n, lo, hi in A.DEPTH_BANDS:
         top = f" and h<{hi}" if hi != float("inf") else ""
-        cols.append(f"sum(case when speed>0.25 and h>={lo}{top} then h*2 else 0 end) as moving_{n}")
+        cols.append(f"sum(case when speed>0.0625 and h>={lo}{top} then h*2 else 0 end) as moving_{n}")
         shares.append(f"moving_{n}/(select p.positive_volume from a p where p.run=a.run and p.frame=0) as fraction_{n}")
     return ("with a as (select run, frame, sum(h*2) as positive_volume, " + ", ".join(cols) +
             " from (select *, sqrt(hu*hu+hv*hv) as speed from frames) group by run, frame) select *, " + ", ".join(shares) + " from a")
@@ -122,7 +122,7 @@ def _bands_sql() -> str:
 @query("moving_by_depth_band", _bands_sql())
 def _(fx):
     c = fx.frames.withColumn("speed", F.sqrt(F.col("hu") * F.col("hu") + F.col("hv") * F.col("hv")))
-    return A.moving_by_depth_band(c, moving=0.25, area=2.0)
+    return A.moving_by_depth_band(c, moving=0.0625, area=2.0)
 
 
 @query("field_metrics", """select "case", model, max(v) as peak, count(*) filter (v>0.01)*25e0 as positive_area, sum(v)*25 as integral from ensemble group by rollup("case", model)""")
@@ -258,10 +258,10 @@ def _(fx):
     return out.withColumns({"l1": F.round("l1", 9), "l2": F.round("l2", 9)})
 
 
-@query("front_rear", "with frames_u as (select *, case when h>0 then hv/h else 0 end as u from frames) select run, frame, min(t) as t, max(x) filter (u>0.5 and sqrt(h)*abs(u)>0.75) as front, max(x) filter (u>0.5) as front_raw, max(x) filter (abs(h-0.5)<=0.05*0.5) as rear, coalesce(max(abs(u)) filter (sqrt(h)*abs(u)>0.75),0) as resolved_speed from frames_u group by run, frame")
+@query("front_rear", "with frames_u as (select *, case when h>0 then hv/h else 0 end as u from frames) select run, frame, min(t) as t, max(x) filter (u>0.125 and sqrt(h)*abs(u)>0.0625) as front, max(x) filter (u>0.125) as front_raw, max(x) filter (abs(h-0.25)<=0.05*0.25) as rear, coalesce(max(abs(u)) filter (sqrt(h)*abs(u)>0.0625),0) as resolved_speed from frames_u group by run, frame")
 def _(fx):
     w = fx.frames.withColumn("u", F.when(F.col("h") > 0, F.col("hv") / F.col("h")).otherwise(0.0))
-    return A.front_rear(w, 0.5, moving=0.5, energy=0.75, rel=0.05)
+    return A.front_rear(w, 0.25, moving=0.125, energy=0.0625, rel=0.05)
 
 
 @query("peak_audit", "with m as (select run, i, j, max(hv) as peak, max(h) as peak_depth from frames group by all), mt as (select m.*, (select min(f.t) from frames f where f.run=m.run and f.i=m.i and f.j=m.j and f.hv=m.peak) as peak_time, row_number() over (partition by run order by peak desc, j, i) as rn from m), "

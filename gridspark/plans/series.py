@@ -65,9 +65,9 @@ def _(fx):
     return W.frame_intervals(fx.frames)
 
 
-@query("running_envelope", """with f as (select run, frame, min(t) as t, max(x) filter (h>2) as front from frames group by run, frame) select *, max(front) over (partition by run order by t) as envelope from f""")
+@query("running_envelope", """with f as (select run, frame, min(t) as t, max(x) filter (h>0.375) as front from frames group by run, frame) select *, max(front) over (partition by run order by t) as envelope from f""")
 def _(fx):
-    f = fx.frames.groupBy("run", "frame").agg(F.min("t").alias("t"), F.max(F.when(F.col("h") > 2, F.col("x"))).alias("front"))
+    f = fx.frames.groupBy("run", "frame").agg(F.min("t").alias("t"), F.max(F.when(F.col("h") > 0.375, F.col("x"))).alias("front"))
     return W.running_envelope(f)
 
 
