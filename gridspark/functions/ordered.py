@@ -22,14 +22,14 @@ def chunked(df: DataFrame, by: list[str], order: str, rows: int = ROWS_PER_CHUNK
     """Add `_chunk`, growing with `order` within each series."""
     at = F.col(order).cast("double")
     span = df.groupBy(*by).agg(
-        F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.ceil(F.count("*") / F.lit(rows)).alias("_n")
+        F.min(at).alias("_span_lo"), F.max(at).alias("_span_hi"), F.ceil(F.count("*") / F.lit(rows)).alias("_span_n")
     )
-    step = (F.col("_hi") - F.col("_lo")) / F.col("_n")
-    part = F.when(step > 0, F.least(F.floor((at - F.col("_lo")) / step), F.col("_n") - 1)).otherwise(F.lit(0))
+    step = (F.col("_span_hi") - F.col("_span_lo")) / F.col("_span_n")
+    part = F.when(step > 0, F.least(F.floor((at - F.col("_span_lo")) / step), F.col("_span_n") - 1)).otherwise(F.lit(0))
     return (
         df.join(span, by)
         .withColumn("_chunk", F.coalesce(part, F.lit(0)).cast("long"))
-        .drop("_lo", "_hi", "_n")
+        .drop("_span_lo", "_span_hi", "_span_n")
     )
 
 
