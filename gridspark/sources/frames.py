@@ -18,7 +18,7 @@ CHUNK = 1_000_000
 
 def frame_headers(spark: SparkSession, path: str, stem: str) -> DataFrame:
     """(run, frame, t, meqn, format) from the time files and (mx, my, xlow, ylow, dx, dy) from the headers."""
-    frame = F.regexp_extract("file", r"\.[a-z](\d+)$", 1).cast("int")
+    frame = F.substring_index("file", ".", -1).substr(2, 12).cast("int")
     t = lines(spark, path, f"{stem}.t*").withColumns({"frame": frame, "_t": tokens()})
     key = lambda name: F.contains("text", F.lit(name))
     times = t.groupBy("run", "frame").agg(
@@ -42,7 +42,7 @@ def scan_frames(spark: SparkSession, path: str, stem: str = "fgout0001", names:
     """
     heads = frame_headers(spark, path, stem)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{stem}.b*").load(path)
-    raw = raw.select(run_of("path").alias("run"), F.regexp_extract("path", r"\.b(\d+)$", 1).cast("int").alias("frame"), "content")
+    raw = raw.select(run_of("path").alias("run"), F.substring_index("path", ".", -1).substr(2, 12).cast("int").alias("frame"), "content")
     heads, _ = complete_frames(heads, raw.select("run", "frame"), missing)
     return decode_frames(raw, heads, names)
 
@@ -82,7 +82,7 @@ def scan_patches(spark: SparkSession, path: str, stem: str = "fort") -> tuple[Da
     Lines are numbered and counted along each file, so a frame of many patches is
     parsed by many tasks.
     """
-    frame = F.regexp_extract("file", r"\.[a-z](\d+)$", 1).cast("int")
+    frame = F.substring_index("file", ".", -1).substr(2, 12).cast("int")
     t = lines(spark, path, f"{stem}.t*").withColumns({"frame": frame, "_t": tokens()})
     times = t.where(F.contains("text", F.lit("time"))).groupBy("run", "frame").agg(F.max(number(F.col("_t")[0])).alias("t"))
     return parse_patches(numbered_lines(spark, path, f"{stem}.q*").withColumn("frame", frame), times)

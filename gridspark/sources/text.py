@@ -20,7 +20,13 @@ NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][-+]?\d+)?"
 def run_of(file: str | Column = "file") -> Column:
     """Run name of a file: the folder it lies in, without a leading `key=`."""
     file = F.col(file) if isinstance(file, str) else file
-    return F.regexp_extract(file, r"(?:[A-Za-z_]+=)?([^/]+)/[^/]+$", 1)
+    folder = F.substring_index(F.substring_index(file, "/", -2), "/", 1)
+    return F.regexp_replace(folder, r"^[A-Za-z_]+=", "")
+
+
+def stem_of(file: Column) -> Column:
+    """File name without its ending."""
+    return F.regexp_replace(F.substring_index(file, "/", -1), r"\.[^.]*$", "")
 
 
 def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -82,7 +88,7 @@ def scan_raster_text(
     words = "|".join(HEADER_WORDS)
     ln = numbered_lines(spark, path, glob).where(F.trim("text") != "")
     if not by_folder:
-        ln = ln.withColumn("run", F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+        ln = ln.withColumn("run", stem_of(F.col("file")))
     key_first = rf"(?i)^\s*({words})\s*:?\s+({NUMBER})\s*$"
     value_first = rf"(?i)^\s*({NUMBER})\s+(?:=:\s*)?({words})\b"
     a, b = F.regexp_extract("text", key_first, 1), F.regexp_extract("text", value_first, 2)
@@ -296,7 +302,7 @@ def parse_runs(raw: DataFrame) -> DataFrame:
 def scan_polygons(spark: SparkSession, path: str, glob: str = "*.geojson") -> DataFrame:
     """Polygon layers, one file each; see `parse_polygons`."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    name = stem_of(F.col("_metadata.file_path"))
     return parse_polygons(raw.select(name.alias("run"), "value"))
 
 
