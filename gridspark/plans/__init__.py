@@ -3,7 +3,7 @@
 from importlib import import_module
 
 AREAS = (
-    "filters", "fields", "joins", "aggs", "series", "geometry", "ranking", "sources",
+    "filters", "fields", "joins", "aggs", "series", "geometry", "ranking", "sources", "streams",
 )
 
 
