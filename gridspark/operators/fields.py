@@ -266,6 +266,11 @@ def nodal_midpoints(cells: DataFrame, grids: DataFrame) -> DataFrame:
     )
 
 
+def derive(frames: DataFrame, quantities: dict) -> DataFrame:
+    """Add user quantities: a Column, or a function of the frame returning one (a pandas UDF call included)."""
+    return frames.withColumns({n: q(frames) if callable(q) else q for n, q in quantities.items()})
+
+
 def snap_to_centres(points: DataFrame, grid: Geometry) -> DataFrame:
     """Move points to the nearest cell centre of `grid`; `i`, `j` may lie outside it."""
     i = to_int(round_half_up((F.col("x") - grid.xmin) / grid.dx - 0.5))

@@ -364,11 +364,13 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
     """Area mean over each target cell of the piecewise bilinear surface of the finest source around.
 
     `geometry(source, x0, y0, dx, dy, nx, ny)` gives node positions, `sources(source, i,
-    j, z)` the nodes. A target cell is cut at the node lines of the sources that reach
+    j, z)` the nodes; both may carry field keys. A target cell is cut at the node lines of the sources that reach
     it; a piece lies in one source cell, where the surface's mean is its centre
     value. Cells not fully covered have `covered` false.
     """
 
+    by = grain(geometry)
+
     def reach(x0: str, d: str, n: str, low: float, step: float, count: int) -> Column:
         first = F.greatest(F.lit(0), F.floor((F.col(x0) - low) / step)).cast("int")
         last = F.least(F.lit(count - 1), F.ceil((F.col(x0) + (F.col(n) - 1) * F.col(d) - low) / step) - 1).cast("int")
@@ -388,14 +390,14 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
     g = g.withColumns({
         "_xs": cuts("ti", "x0", "dx", "nx", target.xmin, target.dx), "_ys": cuts("tj", "y0", "dy", "ny", target.ymin, target.dy),
     })
-    per_cell = g.groupBy("ti", "tj").agg(
+    per_cell = g.groupBy(*by, "ti", "tj").agg(
         F.sort_array(F.collect_list(F.struct((F.col("dx") * F.col("dy")).alias("area"), "source", "x0", "y0", "dx", "dy", "nx", "ny"))).alias("_src"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("_xs")))).alias("_xs"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("_ys")))).alias("_ys"),
     )
     pieces = lambda c: F.explode(F.arrays_zip(F.slice(c, F.lit(1), F.size(c) - 1).alias("a"), F.slice(c, F.lit(2), F.size(c) - 1).alias("b")))
-    p = per_cell.select("ti", "tj", "_src", "_ys", pieces("_xs").alias("_px"))
-    p = p.select("ti", "tj", "_src", "_px", pieces("_ys").alias("_py"))
+    p = per_cell.select(*by, "ti", "tj", "_src", "_ys", pieces("_xs").alias("_px"))
+    p = p.select(*by, "ti", "tj", "_src", "_px", pieces("_ys").alias("_py"))
     p = p.withColumns({
         "x": (F.col("_px.a") + F.col("_px.b")) / 2, "y": (F.col("_py.a") + F.col("_py.b")) / 2,
         "_area": (F.col("_px.b") - F.col("_px.a")) * (F.col("_py.b") - F.col("_py.a")),
@@ -411,11 +413,11 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
         (a + di).cast("int").alias("i"), (b + dj).cast("int").alias("j"),
         (F.col("_area") * (fx - a if di else 1 - (fx - a)) * (fy - b if dj else 1 - (fy - b))).alias("_w"),
     )
-    p = p.select("ti", "tj", F.col("_s.source").alias("source"), F.inline(F.array(one(0, 0), one(1, 0), one(0, 1), one(1, 1))))
+    p = p.select(*by, "ti", "tj", F.col("_s.source").alias("source"), F.inline(F.array(one(0, 0), one(1, 0), one(0, 1), one(1, 1))))
     # Shares of one node add up before the join: far fewer rows meet the node table.
-    p = p.groupBy("ti", "tj", "source", "i", "j").agg(F.sum("_w").alias("_w"))
+    p = p.groupBy(*by, "ti", "tj", "source", "i", "j").agg(F.sum("_w").alias("_w"))
     full = target.dx * target.dy
-    return p.join(sources.select("source", "i", "j", "z"), ["source", "i", "j"]).groupBy("ti", "tj").agg(
+    return p.join(sources.select(*by, "source", "i", "j", "z"), [*by, "source", "i", "j"]).groupBy(*by, "ti", "tj").agg(
         (F.sum(F.col("_w") * F.col("z")) / F.sum(F.when(F.col("z").isNotNull(), F.col("_w")))).alias("mean"),
         (F.abs(F.sum(F.when(F.col("z").isNotNull(), F.col("_w")).otherwise(F.lit(0.0))) - full) <= 1e-9 * full).alias("covered"),
     ).withColumnsRenamed({"ti": "i", "tj": "j"})

@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import grain
-from gridspark.session import checkpoint_dir
+from gridspark.session import checkpoint_dir, configure
+
+
+def _files(df: DataFrame, by: list[str], *order) -> DataFrame:
+    """Rows of one output file together and in order."""
+    configure(df.sparkSession)
+    return df.repartition(*by).sortWithinPartitions(*by, *order)
 
 
 def _exists(spark, path: str) -> bool:
@@ -38,7 +44,7 @@ def write_cells(df: DataFrame, path: str, fingerprints: DataFrame | None = None)
         changed = changed.checkpoint()
         df = df.join(changed.select("run"), "run", "left_semi")
     # Rows sorted by place let row-group statistics skip most of a frame.
-    out = df.repartition(*by).sortWithinPartitions(*by, "j", "i")
+    out = _files(df, by, "j", "i")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     if changed is not None:
         changed.select("fingerprint", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}_fingerprints")
@@ -49,7 +55,7 @@ def write_profile(df: DataFrame, path: str, by: str = "line_id") -> None:
     """Profiles as CSV, one folder per line: (frame,) distance, x, y, value, blank for missing."""
     cols = [c for c in ("t", "distance", "x", "y", "value") if c in df.columns]
     order = [c for c in ("t", "distance") if c in df.columns]
-    df.select(by, *cols).repartition(by).sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).option("header", True).option(
+    _files(df.select(by, *cols), [by], *order).write.mode("overwrite").partitionBy(by).option("header", True).option(
         "nullValue", ""
     ).csv(path)
 
@@ -83,7 +89,7 @@ def export_raster_text(cells: DataFrame, grids: DataFrame, path: str, nodata: fl
     """Rasters as text, one file per field below `path`/key=value folders."""
     by = grain(cells)
     out = raster_lines(cells, grids, nodata, dialect)
-    out.repartition(*by).sortWithinPartitions(*by, "line_no").select(*by, "text").write.mode("overwrite").partitionBy(*by).text(path)
+    _files(out, by, "line_no").select(*by, "text").write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def rate_lines(rates: DataFrame) -> DataFrame:
@@ -103,7 +109,7 @@ def rate_lines(rates: DataFrame) -> DataFrame:
 
 def write_rates(rates: DataFrame, path: str) -> None:
     """Dense rates of every run as one text file each, cells in order and times within."""
-    out = rate_lines(rates).repartition("run").sortWithinPartitions("run", F.col("target_x").asc_nulls_first(), F.col("target_y").asc_nulls_first(), "at")
+    out = _files(rate_lines(rates), ["run"], F.col("target_x").asc_nulls_first(), F.col("target_y").asc_nulls_first(), "at")
     out.select("run", "text").write.mode("overwrite").partitionBy("run").text(path)
 
 
@@ -136,7 +142,7 @@ def track_rows(tracks: DataFrame, offset: DataFrame | None = None, fill: Mapping
 
 def write_tracks(rows: DataFrame, path: str) -> None:
     """Native storm tables as CSV, one folder per storm in time order."""
-    rows.repartition("storm").sortWithinPartitions("storm", "seconds").write.mode("overwrite").partitionBy("storm").option("header", True).csv(path)
+    _files(rows, ["storm"], "seconds").write.mode("overwrite").partitionBy("storm").option("header", True).csv(path)
 
 
 def union_metrics(*tables: DataFrame) -> DataFrame:
