@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark import schema
 from gridspark.functions import grain
-from gridspark.functions.keys import close, col, finite, to_int
+from gridspark.functions.keys import clean, close, col, finite, to_int
 from gridspark.functions.units import convert
 
 
@@ -204,8 +204,6 @@ def wet_mask(frames: DataFrame, wet: float = schema.WET_DEPTH, vel: float = sche
 
 
 def clean_nonneg(cells: DataFrame, column: str = "z") -> DataFrame:
-    from gridspark.functions.keys import clean
-
     return cells.withColumn(column, clean(column))
 
 

@@ -52,7 +52,7 @@ pv as (select f.run, f.frame, q.k, sum(f.h*(case when f.i=a then 1-(x2-0.5-a) el
 
 @query("historical_max_profile", "with " + PROFILE_SQL + " select run, k, max(h) as h from pv where frame<=6 group by all")
 def _(fx):
-    line = fx.frames.select(F.lit(1).alias("line_id")).distinct().withColumn(
+    line = fx.spark.range(1, 2).withColumnRenamed("id", "line_id").withColumn(
         "pts", F.array(F.struct(F.lit(2.5).alias("x"), F.lit(1.5).alias("y")), F.struct(F.lit(52.5).alias("x"), F.lit(41.5).alias("y")))
     )
     pts = W.resample_lines(line, count=41).select("k", (2.5 + F.col("k") * F.lit(1.25)).alias("x"), (1.5 + F.col("k") * F.lit(1.0)).alias("y"))
@@ -225,7 +225,7 @@ def log_texts(fx):
         F.lit("WARNING Courant number  = "), number, F.when(m == 1, " is larger than\n input cfl_max = ").otherwise(" is larger than input cfl_max = "),
         F.lit("1.0 on grid "), (k % 5).cast("string"), F.lit(" level 2"),
     )
-    trial = F.concat(F.lit("AMRCLAW: rejected CFL trial level 3 CFL = "), (k % 9).cast("string"), F.lit(".5D-01 cfl_max = 1.0"))
+    trial = F.concat(F.lit("SOLVER: rejected CFL trial level 3 CFL = "), (k % 9).cast("string"), F.lit(".5D-01 cfl_max = 1.0"))
     seen = F.concat(F.lit("maximum Courant number seen = "), number)
     text = F.when(m < 3, warn).when(m < 5, F.concat_ws("\n", trial, trial)).otherwise(seen)
     return fx.table("orders").select(F.col("o_custkey").alias("run"), F.when(k % 2 == 0, "log").otherwise("amr").alias("source"), k.alias("part"), text.alias("text"))

@@ -1,4 +1,4 @@
-"""Relations shared by sources, operators and sinks, as DDL strings.
+"""Keys and constants shared by sources, operators and sinks.
 
 A grid is a long table with one row per cell: `i` grows eastward, `j` northward,
 both from zero; `x`, `y` are cell centres; NULL means no data.
@@ -7,26 +7,6 @@ both from zero; `x`, `y` are cell centres; NULL means no data.
 # Columns that name one field among many; operators group by those present.
 GRID_KEYS = ("case", "model", "run", "frame")
 
-CELLS = "run string, i int, j int, x double, y double, z double"
-GRIDS = (
-    "run string, xmin double, xmax double, ymin double, ymax double, "
-    "ncols int, nrows int, cellsize double, nodata double"
-)
-FRAMES = (
-    "run string, frame int, t double, i int, j int, x double, y double, "
-    "h double, hu double, hv double, b double"
-)
-PATCH_CELLS = (
-    "run string, frame int, t double, patch int, level int, xlow double, ylow double, "
-    "dx double, dy double, mx int, my int, i int, j int, q array<double>"
-)
-TRACKS = (
-    "storm string, ts timestamp, lon double, lat double, vmax double, pmin double, "
-    "rmw double, router double, cls string, event string"
-)
-RATES = "run string, t double, target_x double, target_y double, q double, qu double, qv double"
-METRICS_DOC = "any mixture of columns; the sink unions by name"
-
 # Physical constants and thresholds of the field definitions (fixed values).
 GRAVITY = 9.81
 WET_DEPTH = 1e-3
