@@ -36,7 +36,7 @@ class Kept:
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove results that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.sessionState().newHadoopConf()
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame)))
             path.getFileSystem(conf).delete(path, True)

@@ -20,37 +20,74 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import Kept
 
 CAPACITY, END = 4096, 1
-# Entries of the word cache of a Python worker; it starts afresh when full.
-CACHE = 400_000
+# Entries of each of the two generations of a Python worker's word cache, and characters encoded in one go.
+CACHE, AT_ONCE = 250_000, 2_000_000
+# ASCII marks that end a word for the tokenizer wherever they follow a letter; an apostrophe may not.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Pieces that one numbering group holds on average.
 NUMBERED = 200_000
 
 
-def encoder(vocabulary: str):
-    """A function from text to its ids as little-endian unsigned 32-bit bytes.
-
-    Tokens never span white space and white space has no token, so a blank-separated chunk is encoded once and
-    remembered. The vocabulary file must be of such a kind (word ends, white space dropped)."""
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(vocabulary), {}
-
-    def ids(text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        fresh = list({c for c in chunks if c not in known})
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at:at + 50_000]
-            for c, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
-
-    return ids
+class Encoder:
+    """From texts to their ids as little-endian unsigned 32-bit bytes.
+
+    Tokens never span white space, white space has no token, and letters are lower-cased, so a chunk between blanks
+    is encoded once and remembered; a chunk of a word and closing marks is put together from the two. The vocabulary
+    must be of such a kind (word ends, lower case, white space dropped)."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks in one text and share its tokens out by where they start."""
+        for at in range(0, len(chunks), 20_000):
+            some = chunks[at:at + 20_000]
+            texts = [c.decode() for c in some]
+            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            starts = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            self.known.update((c, ids[a:b]) for c, a, b in zip(some, cuts, cuts[1:]))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().lower().split() for t in texts]
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = set().union(*split) - known.keys()
+        known.update((c, older[c]) for c in new & older.keys())
+        parts, fresh = [], set()
+        for c in new - known.keys():
+            stem = c.rstrip(MARKS)
+            if len(stem) < len(c) and stem[-1:].isalpha():
+                parts.append((c, stem, c[len(stem):]))
+                fresh.update(parts[-1][1:])
+            else:
+                fresh.add(c)
+        self.learn(list(fresh - known.keys()))
+        known.update([(c, known[stem] + known[end]) for c, stem, end in parts])
+        # A special token's spelling is met only in the text as it stands.
+        return [self.whole(t) if "<|" in t else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
+
+
+def encoded(encode: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of a batch's texts, about AT_ONCE characters at a time; a NULL text is empty."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py() or "")
+        size += len(some[-1])
+        if size > AT_ONCE:
+            yield from encode(some)
+            some, size = [], 0
+    yield from encode(some)
 
 
 def token_pieces(
@@ -65,12 +102,12 @@ def token_pieces(
 
     @F.arrow_udf(f"array<{kind}>")
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(vocabulary)
+        encode = Encoder(vocabulary)
         tail = np.array([end], "<u4").tobytes()
         for texts in parts:
             rows, offsets, blobs = [], [0], []
-            for text in texts:
-                raw = encode(text.as_py() or "") + tail
+            for raw in encoded(encode, texts):
+                raw += tail
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     blob = raw[at:at + 4 * capacity]
                     rows.append((piece, at // 4, len(blob) // 4, zlib.crc32(blob)))

@@ -3,14 +3,76 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridspark.llm import packing
+from gridspark.llm import hamming, jaccard, licenses, mixing, packing, pii, quality, toxicity, tree_search, urls
 from gridspark.llm.common import table
 
 
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+# Sources by the number in their name, and the weights of domains and languages.
+SOURCE_DOMAIN = "case when cast(substring(source, 4) as int) < 1 then 'crawl' when cast(substring(source, 4) as int) < 10 then 'web' else 'curated' end"
+DOMAIN_WEIGHT = {"crawl": 1, "web": 3, "curated": 4}
+LANG_WEIGHT = {"en": 4, "de": 2, "fr": 2, "es": 1}
+
+
+
+def mix_settings(docs: DataFrame):
+    """(domain of a document, weights of the leaves) of the mixture."""
+    domain = F.expr(SOURCE_DOMAIN)
+    leaves = docs.select(domain.alias("domain"), "lang", "source")
+    return domain, mixing.weights_by_rule(leaves, DOMAIN_WEIGHT, LANG_WEIGHT)
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixture(docs, *mix_settings(docs), share=0.6, epochs=2)
+
+
+def op3_itq_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))[0]
+
+
+def op5_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge_pages(pages, urls.fit(pages))
+
+
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_documents(docs, pii.fit(docs))
+
+
+def op8_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op9_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_best_fit_packing,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxic_segments, op2_mix_sources, op3_itq_near_duplicates, op4_jaccard_join, op5_license_templates, op6_url_words,
+        op7_boosted_pii, op8_kmeans_tree_search, op9_quadratic_discriminant, op10_best_fit_packing,
+    )
+}
 ORACLE: dict[str, str] = {}
