@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,64 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+class WordHashes:
+    """64-bit hashes of all words of many texts at once: each byte has a number, a word's hash is their sum weighted
+    by powers of an odd number, mixed. `letters` maps a byte to the one it counts as; blanks part words."""
+
+    #: Bytes of text that are hashed in one go, unless one text is longer.
+    AT_ONCE = 1 << 20
+
+    def __init__(self, letters: bytes, blanks: bytes):
+        rng = np.random.default_rng(17)
+        number = rng.integers(1 << 63, dtype=np.uint64) | np.uint64(1)
+        self.numbers = rng.integers(1 << 63, size=256, dtype=np.uint64)[np.frombuffer(letters, np.uint8)]
+        self.blank = np.isin(np.arange(256), list(blanks))
+        self.powers, self.base = np.ones(1, np.uint64), number
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes, offsets of each text's words in them) for runs of consecutive texts; NULL counts as empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.AT_ONCE, side="right")) - 1)
+            yield self.some(data[ends[at]:ends[to]], ends[at:to + 1] - ends[at])
+            at = to
+
+    def some(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        letter = ~self.blank[data]
+        opens = letter.copy()
+        opens[1:] &= ~letter[:-1]
+        starts = ends[:-1][ends[:-1] < len(data)]
+        opens[starts] = letter[starts]
+        first = np.flatnonzero(opens)
+        offsets = np.searchsorted(first, ends)
+        if not len(first):
+            return np.empty(0, np.uint64), offsets
+        inside = np.flatnonzero(letter)
+        begin = np.searchsorted(inside, first)
+        size = np.diff(np.append(begin, len(inside)))
+        if size.max() > len(self.powers):
+            self.powers = np.cumprod(np.full(int(size.max()) + 64, self.base, np.uint64))
+        place = np.arange(len(inside)) - np.repeat(begin, size)
+        h = np.add.reduceat(self.numbers[data[inside]] * self.powers[place], begin)
+        return mixed(h + size.astype(np.uint64)), offsets
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers; one to one."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Words as runs of letters and digits, and words as runs of other than white space.
+alphanumeric = lambda: WordHashes(WORD_BYTES, bytes(b for b in range(256) if WORD_BYTES[b] == 32))
+printed = lambda: WordHashes(LOWER, b" \t\n\x0b\x0c\r")
+
+
 def components(kept: Kept, links: DataFrame) -> DataFrame:
     """(id, component) of every id in `links` (a, b); component is the smallest id reachable.
 

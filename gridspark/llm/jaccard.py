@@ -4,8 +4,9 @@ Texts with equal shingle sets are one class before anything is compared. Two set
 share one of their first shingles in any common order (prefix of n - ceil(t n) + 1), so only classes that share such
 a key meet. Keys that very many classes share are left, and their classes are ordered anew by how rare a shingle is,
 which takes shared passages out of the prefixes. Every class of a key is first compared with the key's smallest one;
-what is then connected needs no further comparison. The rest meets in tiles (key, size band, block) of bounded size,
-where the bitmaps bound the overlap from above, and what passes is decided by the sorted shingle arrays.
+what is then connected needs no further comparison. The rest meets in tiles (key, size band): classes that are not
+connected with the key's smallest one meet those of their own and the next bands. Bitmaps bound the overlap from above,
+and what passes is decided by the sorted shingle arrays.
 """
 
 from __future__ import annotations
@@ -20,49 +21,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridspark.llm.common import Kept, components
+from gridspark.llm.common import Kept, components, mixed, printed
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
-#: Classes that a key may have before its classes are ordered by rarity, and classes in a block of a tile.
-HOT, BLOCK = 1024, 512
+#: Classes that a key may have before its classes are ordered by rarity.
+HOT = 1024
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
-#: Entries of the word cache of a Python worker; it starts afresh when full.
-CACHE = 500_000
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts; one per Python worker."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
-        self.mix = np.array([int(MIX[k % 5]) * (2 * (k // 5) + 1) % 2**64 for k in range(size)], np.uint64)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        # Lower-cases A-Z; the blanks of bytes.split are exactly space and 09 to 0D.
-        tokens = text.lower().split() if text else []
-        if not tokens:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        except KeyError:
-            for w in tokens:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-        size = min(self.size, len(h))
-        total = np.full(len(h) - size + 1, size, np.uint64)
-        for k in range(size):
-            total += (h[k:len(h) - size + 1 + k] ^ (h[k:len(h) - size + 1 + k] >> np.uint64(29))) * self.mix[k]
-        total ^= total >> np.uint64(32)
-        total *= np.uint64(0xD6E8FEB86659FD93)
-        total ^= total >> np.uint64(29)
-        return np.unique(total)
+        self.size, self.words = size, printed()
+        self.weights = np.random.default_rng(23).integers(1 << 63, size=size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of every text in turn; a text with fewer words than a shingle is one shingle."""
+        for h, offsets in self.words(texts):
+            total = np.zeros(max(len(h) - self.size + 1, 0), np.uint64)
+            for k, weight in enumerate(self.weights):
+                total += h[k:k + len(total)] * weight
+            total = mixed(total)
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+                if b - a >= self.size:
+                    yield np.unique(total[a:b - self.size + 1])
+                else:
+                    yield mixed((h[a:b] * self.weights[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)) if b > a else h[:0]
 
 
 def prefix_length(n: int, reach: int) -> int:
@@ -73,10 +60,9 @@ def prefix_length(n: int, reach: int) -> int:
 def bitmap(shingles: np.ndarray) -> bytes:
     """A bit per shingle, hashed; the width is a power of two, so that a wide map folds into a narrow one."""
     bits = min(WIDEST, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
-    out = np.zeros(bits // 8, np.uint8)
-    at = shingles & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
-    return out.tobytes()
+    out = np.zeros(bits, bool)
+    out[shingles & np.uint64(bits - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def fold(maps: np.ndarray, width: int) -> np.ndarray:
@@ -96,8 +82,7 @@ def shingle_sets(docs: DataFrame, size: int, reach: int, id_col: str, text_col:
         shingle = Shingler(size)
         for texts in parts:
             n, digests, prefixes, maps = [], [], [], []
-            for text in texts:
-                s = shingle(text.cast(pa.binary()).as_py())
+            for s in shingle(texts):
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 prefixes.append(s[:prefix_length(len(s), reach)].view(np.int64))
@@ -117,7 +102,7 @@ def shingle_arrays(docs: DataFrame, size: int, id_col: str, text_col: str) -> Da
     def take(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingle = Shingler(size)
         for texts in parts:
-            yield pa.array([shingle(t.cast(pa.binary()).as_py()).tobytes() for t in texts], pa.binary())
+            yield pa.array([s.tobytes() for s in shingle(texts)], pa.binary())
 
     return docs.select(F.col(id_col).alias("doc_id"), take(F.col(text_col)).alias("shingles"))
 
@@ -152,52 +137,22 @@ def possible(na, nb, bits, reach: int):
 
 
 def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
-    """Candidate pairs (a, b) of tiles: rows (tile, side, id, n, label, bitmap) with all rows of a tile in one
-    partition, one after the other. Side 0 meets side 1; side 2 meets itself. Equal labels are connected already."""
-
-    def pairs(tile: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, sizes, labels, sides = (np.array(tile[k]) for k in ("id", "n", "label", "side"))
-        maps = [np.frombuffer(b, np.uint8) for b in tile["bitmap"]]
-        width = min(map(len, maps))
-        maps = np.concatenate([fold(m[None, :], width) for m in maps])
-        inside = sides.min() == 2
-        left, right = (np.arange(len(ids)),) * 2 if inside else (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1))
-        for i in left:
-            js = right[right > i] if inside else right
-            js = js[labels[js] != labels[i]]
-            js = js[possible(sizes[i], sizes[js], np.abs(sizes[js] - sizes[i]), reach)]
-            if len(js):
-                bits = np.bitwise_count(maps[js] ^ maps[i]).sum(1, dtype=np.int64)
-                js = js[possible(sizes[i], sizes[js], bits, reach)]
-                yield np.full(len(js), ids[i]), ids[js]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "n", "label", "side", "bitmap")
-        key, tile = None, None
-
-        def out(tile):
-            found = list(pairs(tile)) if tile and len(tile["id"]) > 1 else []
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in parts:
-            columns = {k: batch[k].to_pylist() for k in names}
-            for at, this in enumerate(zip(*(batch[k].to_pylist() for k in ("key", "lo", "hi")))):
-                if this != key:
-                    yield from out(tile)
-                    key, tile = this, {k: [] for k in names}
-                for k in names:
-                    tile[k].append(columns[k][at])
-        yield from out(tile)
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def rare_first(docs: DataFrame, ids: DataFrame, size: int, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that share a key and whose sizes allow the similarity.
+
+    `rows` has key, id, n, label and main, the label of the key's smallest class. Bands are as wide as sizes may
+    differ, so a residual class (not labelled main) goes to the tiles of its own and both next bands, and meets all of
+    a tile's classes; two of the main label never meet."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / reach)).cast("int")
+    there = rows.select("key", band.alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("joined"))
+    here = rows.where("label <> main").select("key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    met = here.join(there, ["key", "band"]).where((F.col("la") != F.col("lb")) & (F.col("joined") | (F.col("a") < F.col("b"))))
+    met = met.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
     """(key, id) of the classes `ids` with their shingles ordered by how many of these classes have them."""
-    texts = docs.select(F.col(id_col).alias("id"), text_col).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = shingle_arrays(texts, size, "id", text_col)
+    sets = shingle_arrays(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), size, "id", "text").groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles"))
 
     @F.arrow_udf("array<bigint>")
     def unpack(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -212,18 +167,22 @@ def rare_first(docs: DataFrame, ids: DataFrame, size: int, reach: int, id_col: s
     return ordered.select("id", F.explode(first).alias("s")).where("s.often > 1").select("s.key", "id")
 
 
-def confirmed(kept: Kept, pairs: DataFrame, arrays: DataFrame, sizes: DataFrame, reach: int) -> DataFrame:
+def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow it and whose exact intersection reaches the similarity."""
     side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
     bounded = pairs.join(side("a"), "a").join(side("b"), "b").where(possible(F.col("na"), F.col("nb"), F.abs(F.col("na") - F.col("nb")), reach))
     likely = kept.write(bounded.where(possible(F.col("na"), F.col("nb"), differing("ma", "mb"), reach)).select("a", "b", "na", "nb"))
+    # The arrays of the classes in those pairs alone; an id that repeats is held to the set that stands for it.
+    asked = likely.select(F.col("a").alias("doc_id"), F.col("na").alias("n")).union(likely.select("b", "nb")).distinct()
+    arrays = shingle_arrays(texts.join(asked.select("doc_id"), "doc_id", "left_semi"), size, "doc_id", "text").join(asked, "doc_id")
+    arrays = kept.write(arrays.where("length(shingles) = 8 * n").dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
     side = lambda x: arrays.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     full = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", common("sa", "sb"))
     return full.where((100 + reach) * F.col("both") >= reach * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def jaccard_join(
-    docs: DataFrame, size: int = WORDS, reach: int = REACH, hot: int = HOT, block: int = BLOCK, id_col: str = "doc_id",
+    docs: DataFrame, size: int = WORDS, reach: int = REACH, hot: int = HOT, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links).
@@ -242,49 +201,26 @@ def jaccard_join(
     classes = kept.write(by_id.groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(by_id, "digest").select("doc_id", "class_id", "digest"))
     heads = classes.where("doc_id = class_id")
     meta = kept.write(mine.join(heads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
-    keys = kept.write(meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id")))
+    sizes = meta.select("doc_id", "n", "bitmap")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    keys = meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id")).repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     live = kept.write(keys.join(shared, "key"))
     busy = live.where(F.col("k") > hot).select("id").distinct()
-    anew = rare_first(docs.where(F.col(id_col).isNotNull()), busy, size, reach, id_col, text_col)
+    anew = rare_first(texts, busy, size, reach)
     rows = kept.write(live.where(F.col("k") <= hot).select("key", "id").unionAll(anew))
 
     # First the smallest class of every key against the others of the key.
     low = rows.groupBy("key").agg(F.min("id").alias("a"))
     star = rows.join(low, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_col).where("doc_id is not null")
-    used = rows.select(F.col("id").alias("doc_id")).distinct()
-    arrays = kept.write(
-        shingle_arrays(texts.join(used, "doc_id", "left_semi"), size, "doc_id", text_col).join(meta.select("doc_id", "n"), "doc_id")
-        .where("length(shingles) = 8 * n").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
-    )
-    stars = kept.write(confirmed(kept, star, arrays, meta, reach))
+    stars = kept.write(confirmed(kept, star, texts, sizes, reach, size))
     roots = kept.write(components(kept, stars))
 
-    # Then all that is not connected yet, tile by tile: residual classes (not with the key's smallest) meet all.
-    label = F.coalesce("component", "id").alias("label")
-    named = rows.join(roots, "id", "left").select("key", "id", label)
+    # Then all that is not connected yet, tile by tile.
+    named = rows.join(roots, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     main = named.groupBy("key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / reach)).cast("long")
-    apart = (
-        named.join(main, "key").join(meta.select(F.col("doc_id").alias("id"), "n", "bitmap"), "id")
-        .select("key", "id", "label", "n", "bitmap", (2 * band + (F.col("label") == F.col("main")).cast("long")).alias("kind"))
-    )
-    apart = kept.write(apart)
-    blocks = apart.groupBy("key", "kind").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    many = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))
-    placed = apart.join(many, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("kind"))))
-    # The neighbours of a kind: bands one below to one above, residual with all, the connected only with residual.
-    near = F.expr("filter(sequence(2 * (kind div 2) - 2, 2 * (kind div 2) + 3), x -> map_contains_key(blocks, x) and (x % 2 = 0 or kind % 2 = 0))")
-    met = placed.withColumn("other", F.explode(near)).withColumn("at", F.explode(F.expr("sequence(cast(0 as bigint), element_at(blocks, other) - 1)")))
-    met = met.withColumn("_me", F.col("kind") * (1 << 32) + F.col("own")).withColumn("_it", F.col("other") * (1 << 32) + F.col("at"))
-    tiles = met.select(
-        "key", F.least("_me", "_it").alias("lo"), F.greatest("_me", "_it").alias("hi"), "id", "n", "label", "bitmap",
-        F.when(F.col("_me") == F.col("_it"), 2).when(F.col("_me") < F.col("_it"), 0).otherwise(1).alias("side"),
-    )
-    tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    more = confirmed(kept, tile_pairs(tiles, reach).distinct(), arrays, meta, reach)
-    links = kept.write(stars.unionAll(more))
+    apart = kept.write(named.join(main.select("key", "main"), "key").join(sizes.select(F.col("doc_id").alias("id"), "n"), "id"))
+    links = kept.write(stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size)))
     linked = components(kept, links).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
 
     counts = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows"))

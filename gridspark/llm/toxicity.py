@@ -8,7 +8,6 @@ logistic curve on a part of the labelled documents that gave no counts turns the
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,16 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import logistic, training_rows, words
+from gridspark.llm.common import alphanumeric, logistic, remainder, training_rows
 
-#: Model size: words fall into this many buckets by crc32; the counts and the model are of this size at any scale.
+#: Model size: words fall into this many buckets by a hash; the counts and the model are of this size at any scale.
 BUCKETS = 1 << 18
 #: Labelled documents that the model is fitted on, at most.
 BOUND = 20_000
 #: Strength of the prior, in documents' worth of words, and the cost of a word that tells nothing.
 PRIOR, COST = 20.0, 0.4
-#: Entries of the word cache of a Python worker; it starts afresh when full.
-CACHE = 500_000
 #: A segment counts as toxic if a clean text holds one as good with at most this probability.
 SIGNIFICANT = 0.05
 STATISTICS = 4
@@ -43,8 +40,12 @@ class Model:
     rate: float
 
 
-def bucket(word: bytes) -> int:
-    return zlib.crc32(word) & (BUCKETS - 1)
+def buckets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The bucket of every word, text by text."""
+    for h, offsets in alphanumeric()(texts):
+        at = (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+            yield at[a:b]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -71,26 +72,6 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
-class Scanner:
-    """Statistics of texts under bucket scores; one per Python worker."""
-
-    def __init__(self, scores: np.ndarray):
-        self.scores, self.known = scores, {}
-
-    def word_scores(self, text: bytes | None) -> np.ndarray:
-        tokens = words(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, scores = self.known, self.scores
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
-        except KeyError:
-            for w in set(tokens):
-                if w not in known:
-                    known[w] = float(scores[bucket(w)])
-            return np.fromiter(map(known.__getitem__, tokens), np.float64, len(tokens))
-
-
 def surprise(best: float, n: int, place: float, width: float) -> float:
     """The best segment's score in widths beyond what a clean text of n words has: a standard Gumbel value."""
     return (best - place) / width - math.log(n) if n else -10.0
@@ -123,10 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound
         """In how many texts of each label a bucket occurs, one block per task."""
         held_counts = np.zeros((2, BUCKETS), np.int64)
         for batch in parts:
-            texts = batch["text"].cast(pa.binary()).to_pylist()
-            for text, label in zip(texts, batch["label"].to_pylist()):
-                seen = np.fromiter({bucket(w) for w in words(text)}, np.int64)
-                held_counts[label, seen] += 1
+            for found, label in zip(buckets(batch["text"]), batch["label"].to_pylist()):
+                held_counts[label, np.unique(found)] += 1
         at = np.flatnonzero(held_counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held_counts[0, at]), pa.array(held_counts[1, at])], ["bucket", "clean", "toxic"])
 
@@ -150,11 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound
 
     @F.arrow_udf(kind)
     def scan(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(scores)
         for texts in parts:
             out = []
-            for text in texts.cast(pa.binary()).to_pylist():
-                values = scanner.word_scores(text)
+            for at in buckets(texts):
+                values = scores[at]
                 found = segments(values)
                 out.append({"n": len(values), "best": max((s for *_, s in found), default=0.0), "segments": [dict(zip("abs", x)) for x in found]})
             yield pa.array(out, pa.struct([("n", pa.int64()), ("best", pa.float64()), ("segments", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])))]))
@@ -183,12 +161,11 @@ def scored(text: str | Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<score:double,p_value:double,passages:array<struct<start:bigint,end:bigint,score:double>>>")
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(model.scores)
         flat = not model.curve.any()
         for texts in parts:
             out = []
-            for text in texts.cast(pa.binary()).to_pylist():
-                values = scanner.word_scores(text)
+            for at in buckets(texts):
+                values = model.scores[at]
                 n, found = len(values), segments(values)
                 z = max((surprise(s, n, model.place, model.width) for *_, s in found), default=-50.0)
                 line = float(model.curve[0] + np.dot(model.curve[1:], statistics(found, n, model.place, model.width)))
@@ -203,8 +180,6 @@ def score_documents(docs: DataFrame, model: Model, folds: int = 4, held: int = 2
     """A row for every row of `docs`: doc_id, held_out, score, predicted, n_passages, p_value.
 
     Repeated rows are scored each; held_out is false for a NULL doc_id; other columns are left out."""
-    from gridspark.llm.common import remainder
-
     return docs.select("doc_id", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), scored("text", model).alias("s")).select(
         "doc_id", "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= 0.3).cast("int").alias("predicted"),
         F.size("s.passages").cast("bigint").alias("n_passages"), F.col("s.p_value").alias("p_value"),
