@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridspark.llm.common import Kept, components, mixed, printed
+from gridspark.llm.common import Kept, components, mixed, printed, with_ids
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
 #: Classes that a key may have before its classes are ordered by rarity.
-HOT = 1024
+HOT = 4096
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
 
@@ -151,8 +151,11 @@ def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
 
 
 def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
-    """(key, id) of the classes `ids` with their shingles ordered by how many of these classes have them."""
-    sets = shingle_arrays(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), size, "id", "text").groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles"))
+    """(key, id) of the classes `ids` with their shingles ordered by how many of these classes have them.
+
+    Shingles that only one class has come first in the order and meet no other: they are counted, not moved again."""
+    ids = ids.withColumnRenamed("id", "doc_id")
+    sets = shingle_arrays(with_ids(texts, ids, "doc_id"), size, "doc_id", "text").groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles"))
 
     @F.arrow_udf("array<bigint>")
     def unpack(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -160,11 +163,13 @@ def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataF
             lists = [np.frombuffer(b.as_buffer(), np.int64) for b in blobs]
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([*lists, np.empty(0, np.int64)]), pa.int64()))
 
-    rows = sets.select(F.col("doc_id").alias("id"), F.explode(unpack("shingles")).alias("key")).repartition("key")
-    often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    ordered = rows.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
-    first = F.expr(f"slice(s, 1, size(s) - cast(ceil(size(s) * {reach} / 100) as int) + 1)")
-    return ordered.select("id", F.explode(first).alias("s")).where("s.often > 1").select("s.key", "id")
+    n = (F.length("shingles") / 8).cast("int")
+    rows = sets.select(F.col("doc_id").alias("id"), n.alias("n"), F.explode(unpack("shingles")).alias("key")).repartition("key")
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = rows.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    # Of the prefix of n - ceil(reach n) + 1 shingles the n - size(s) rarest stand before the shared ones.
+    first = F.expr(f"slice(s, 1, greatest(0, n - cast(ceil(n * {reach} / 100) as int) + 1 - (n - size(s))))")
+    return ordered.select("id", F.explode(first).alias("s")).select("s.key", "id")
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
@@ -174,7 +179,7 @@ def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame,
     likely = kept.write(bounded.where(possible(F.col("na"), F.col("nb"), differing("ma", "mb"), reach)).select("a", "b", "na", "nb"))
     # The arrays of the classes in those pairs alone; an id that repeats is held to the set that stands for it.
     asked = likely.select(F.col("a").alias("doc_id"), F.col("na").alias("n")).union(likely.select("b", "nb")).distinct()
-    arrays = shingle_arrays(texts.join(asked.select("doc_id"), "doc_id", "left_semi"), size, "doc_id", "text").join(asked, "doc_id")
+    arrays = shingle_arrays(with_ids(texts, asked.select("doc_id"), "doc_id"), size, "doc_id", "text").join(asked, "doc_id")
     arrays = kept.write(arrays.where("length(shingles) = 8 * n").dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
     side = lambda x: arrays.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     full = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", common("sa", "sb"))
@@ -201,11 +206,14 @@ def jaccard_join(
     classes = kept.write(by_id.groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(by_id, "digest").select("doc_id", "class_id", "digest"))
     heads = classes.where("doc_id = class_id")
     meta = kept.write(mine.join(heads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
-    sizes = meta.select("doc_id", "n", "bitmap")
+    base = kept.write(sets.select("doc_id", "n"))
+    kept.drop(sets)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     keys = meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id")).repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     live = kept.write(keys.join(shared, "key"))
+    sizes = kept.write(meta.select("doc_id", "n", "bitmap"))
+    kept.drop(meta)
     busy = live.where(F.col("k") > hot).select("id").distinct()
     anew = rare_first(texts, busy, size, reach)
     rows = kept.write(live.where(F.col("k") <= hot).select("key", "id").unionAll(anew))
@@ -223,10 +231,10 @@ def jaccard_join(
     links = kept.write(stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size)))
     linked = components(kept, links).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
 
-    counts = sets.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    counts = base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     of = counts.join(classes.select("doc_id", "class_id"), "doc_id", "left").join(linked, "class_id", "left").select(
         "doc_id", "n_rows", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
+    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
     return out.select("doc_id", "n_shingles", "component_id", "class_id", "n_rows"), links
 
 

@@ -54,30 +54,37 @@ def names(host: str, path: str) -> tuple[list[str], list[str]]:
 
 
 class Segmenter:
-    """Splits runs of letters into words: Viterbi over unigram log probabilities; one per Python worker."""
+    """Splits runs of letters into words: Viterbi over unigram log probabilities; one per Python worker.
+
+    A run is no witness for itself: it stays whole only if two or more known words of three letters and more do not
+    make it up."""
 
     def __init__(self, logs: dict[str, float], total: float):
         self.logs, self.unknown, self.seen = logs, -math.log(max(total, 1) * 10), {}
 
-    def __call__(self, run: str) -> list[str]:
-        if run in self.seen:
-            return self.seen[run]
+    def path(self, run: str, shortest: int, spell: bool) -> list[str]:
+        """The likeliest words other than the run itself; none if known words do not reach and it may not spell."""
         best, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
         for end in range(1, len(run) + 1):
             for start in range(max(0, end - LONGEST), end):
-                word = run[start:end]
-                # A word never seen costs more the longer it is, and is better whole than in pieces never seen.
-                log = self.logs.get(word)
-                value = best[start] + (log if log is not None else self.unknown - 2.3 * (end - start))
-                if value > best[end]:
-                    best[end], back[end] = value, start
+                log = self.logs.get(run[start:end]) if end - start >= shortest and end - start < len(run) else None
+                if log is None:
+                    if not spell:
+                        continue
+                    log = self.unknown - 2.3 * (end - start)
+                if best[start] + log > best[end]:
+                    best[end], back[end] = best[start] + log, start
         out, end = [], len(run)
-        while end:
+        while end and best[end] > -math.inf:
             out.append(run[back[end]:end])
             end = back[end]
-        if len(self.seen) > 200_000:
-            self.seen.clear()
-        self.seen[run] = out[::-1]
+        return out[::-1]
+
+    def __call__(self, run: str) -> list[str]:
+        if run not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[run] = self.path(run, 3, False) or ([run] if run in self.logs else self.path(run, 2, True))
         return self.seen[run]
 
 
