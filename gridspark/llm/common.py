@@ -53,17 +53,21 @@ def remainder(key: str, n: int) -> Column:
 SIEVE = 1 << 16
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among `ids`: a left semi join that moves few other rows.
+def tested(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`rows` with a flag `_maybe`, false only for rows whose key is not among `ids`.
 
-    A bitmap over hashes of the ids, SIEVE rows at most and therefore broadcast, is tested first; it lets every match
-    pass. With very many ids it lets more of the others pass too, which the join then sorts out."""
+    A bitmap over hashes of the ids, SIEVE rows at most and therefore broadcast, holds a bit for every id. With very
+    many ids more of the other rows are flagged too."""
     bit = F.pmod(F.xxhash64(key), F.lit(SIEVE * 64))
     masks = ids.select((F.floor(bit / 64)).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))").alias("_bit"))
     masks = masks.groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
-    tested = rows.withColumn("_word", F.floor(bit / 64).cast("int")).join(F.broadcast(masks), "_word")
-    some = tested.where(F.expr(f"getbit(_mask, cast(pmod(xxhash64(`{key}`), 64) as int)) = 1"))
-    return some.drop("_word", "_mask").join(ids, key, "left_semi")
+    met = rows.withColumn("_word", F.floor(bit / 64).cast("int")).join(F.broadcast(masks), "_word", "left")
+    return met.withColumn("_maybe", F.expr(f"coalesce(getbit(_mask, cast(pmod(xxhash64(`{key}`), 64) as int)) = 1, false)")).drop("_word", "_mask")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among `ids`: a left semi join that moves few other rows."""
+    return tested(rows, ids, key).where("_maybe").drop("_maybe").join(ids, key, "left_semi")
 
 
 def words(text: bytes | None) -> list[bytes]:

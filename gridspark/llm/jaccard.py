@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridspark.llm.common import Kept, components, mixed, printed, with_ids
+from gridspark.llm.common import Kept, components, mixed, printed, tested, with_ids
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
@@ -136,22 +136,35 @@ def possible(na, nb, bits, reach: int):
     return (100 + reach) * (na + nb - bits) >= 2 * reach * (na + nb)
 
 
+def prefix_rest(n: Column, reach: int) -> Column:
+    """Shingles behind the prefix."""
+    return F.ceil(n * reach / 100) - 1
+
+
 def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
-    """Pairs (a, b) of classes of different labels that share a key and whose sizes allow the similarity.
+    """Pairs (a, b, na, nb) of classes of different labels that share enough keys for the similarity.
 
-    `rows` has key, id, n, label and main, the label of the key's smallest class. Bands are as wide as sizes may
-    differ, so a residual class (not labelled main) goes to the tiles of its own and both next bands, and meets all of
-    a tile's classes; two of the main label never meet."""
+    `rows` has level, key, id, n, missing, label and main, the label of the key's smallest class. Bands are as wide as
+    sizes may differ, so a residual class (not labelled main) goes to the tiles of its own and both next bands, and
+    meets all of a tile's classes; two of the main label never meet. The overlap of two sets is at most the keys that
+    they share in their prefixes and what stands behind one of those; `missing` keys of a prefix are not in `rows` and
+    count as shared."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / reach)).cast("int")
-    there = rows.select("key", band.alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("joined"))
-    here = rows.where("label <> main").select("key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    met = here.join(there, ["key", "band"]).where((F.col("la") != F.col("lb")) & (F.col("joined") | (F.col("a") < F.col("b"))))
-    met = met.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "n", "missing", "label")]
+    there = rows.select("level", "key", band.alias("band"), *side("2"), (F.col("label") == F.col("main")).alias("joined"))
+    here = rows.where("label <> main").select("level", "key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), *side("1"))
+    met = here.join(there, ["level", "key", "band"]).where((F.col("label1") != F.col("label2")) & (F.col("joined") | (F.col("id1") < F.col("id2"))))
+    met = met.where(100 * F.least("n1", "n2") >= reach * F.greatest("n1", "n2"))
+    first = F.col("id1") < F.col("id2")
+    ordered = lambda c, x, y: F.when(first, F.col(c + x)).otherwise(F.col(c + y))
+    counted = met.groupBy("level", ordered("id", "1", "2").alias("a"), ordered("id", "2", "1").alias("b"), ordered("n", "1", "2").alias("na"), ordered("n", "2", "1").alias("nb")).agg(
+        F.count("*").alias("shared"), F.max(F.least("missing1", "missing2")).alias("missing"))
+    most = F.col("shared") + F.col("missing") + F.greatest(prefix_rest(F.col("na"), reach), prefix_rest(F.col("nb"), reach))
+    return counted.where((100 + reach) * most >= reach * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
 
 
 def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
-    """(key, id) of the classes `ids` with their shingles ordered by how many of these classes have them.
+    """(key, id, n) of the classes `ids` with their shingles ordered by how many of these classes have them.
 
     Shingles that only one class has come first in the order and meet no other: they are counted, not moved again."""
     ids = ids.withColumnRenamed("id", "doc_id")
@@ -169,13 +182,13 @@ def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataF
     ordered = rows.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
     # Of the prefix of n - ceil(reach n) + 1 shingles the n - size(s) rarest stand before the shared ones.
     first = F.expr(f"slice(s, 1, greatest(0, n - cast(ceil(n * {reach} / 100) as int) + 1 - (n - size(s))))")
-    return ordered.select("id", F.explode(first).alias("s")).select("s.key", "id")
+    return ordered.select("id", "n", F.explode(first).alias("s")).select("s.key", "id", "n")
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow it and whose exact intersection reaches the similarity."""
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
-    bounded = pairs.join(side("a"), "a").join(side("b"), "b").where(possible(F.col("na"), F.col("nb"), F.abs(F.col("na") - F.col("nb")), reach))
+    """Of pairs (a, b, na, nb) those whose bitmaps allow it and whose exact intersection reaches the similarity."""
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("bitmap").alias(f"m{x}"))
+    bounded = pairs.where(possible(F.col("na"), F.col("nb"), F.abs(F.col("na") - F.col("nb")), reach)).join(side("a"), "a").join(side("b"), "b")
     likely = kept.write(bounded.where(possible(F.col("na"), F.col("nb"), differing("ma", "mb"), reach)).select("a", "b", "na", "nb"))
     # The arrays of the classes in those pairs alone; an id that repeats is held to the set that stands for it.
     asked = likely.select(F.col("a").alias("doc_id"), F.col("na").alias("n")).union(likely.select("b", "nb")).distinct()
@@ -204,30 +217,38 @@ def jaccard_join(
     # One set per id, one id per set.
     by_id = mine.groupBy("doc_id").agg(F.max(F.struct("n", "digest")).alias("s")).select("doc_id", "s.digest")
     classes = kept.write(by_id.groupBy("digest").agg(F.min("doc_id").alias("class_id")).join(by_id, "digest").select("doc_id", "class_id", "digest"))
+    # Most rows stand for their class; only those that may not are moved to find out.
     heads = classes.where("doc_id = class_id")
-    meta = kept.write(mine.join(heads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]))
+    unsure = classes.where("doc_id <> class_id").select("doc_id").unionAll(mine.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    flagged = tested(mine, unsure, "doc_id")
+    moved = flagged.where("_maybe").drop("_maybe").join(heads, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    meta = kept.write(flagged.where("not _maybe").drop("_maybe").unionByName(moved))
     base = kept.write(sets.select("doc_id", "n"))
     kept.drop(sets)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    keys = meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id")).repartition("key")
+    keys = meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n")).repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     live = kept.write(keys.join(shared, "key"))
     sizes = kept.write(meta.select("doc_id", "n", "bitmap"))
     kept.drop(meta)
-    busy = live.where(F.col("k") > hot).select("id").distinct()
-    anew = rare_first(texts, busy, size, reach)
-    rows = kept.write(live.where(F.col("k") <= hot).select("key", "id").unionAll(anew))
+    left_out = live.where(F.col("k") > hot).groupBy("id").agg(F.count("*").alias("missing"))
+    busy = kept.write(left_out)
+    calm = live.where(F.col("k") <= hot).join(busy, "id", "left").select(F.lit(0).alias("level"), "key", "id", "n", F.coalesce("missing", F.lit(0)).alias("missing"))
+    anew = rare_first(texts, busy.select("id"), size, reach).select(F.lit(1).alias("level"), "key", "id", "n", F.lit(0).cast("long").alias("missing"))
+    rows = kept.write(calm.unionByName(anew))
+    kept.drop(live)
 
     # First the smallest class of every key against the others of the key.
-    low = rows.groupBy("key").agg(F.min("id").alias("a"))
-    star = rows.join(low, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    low = rows.groupBy("level", "key").agg(F.min(F.struct("id", "n")).alias("l")).select("level", "key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+    star = rows.join(low, ["level", "key"]).where("a <> id").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
+    star = star.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb")).distinct()
     stars = kept.write(confirmed(kept, star, texts, sizes, reach, size))
     roots = kept.write(components(kept, stars))
 
     # Then all that is not connected yet, tile by tile.
-    named = rows.join(roots, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    main = named.groupBy("key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    apart = kept.write(named.join(main.select("key", "main"), "key").join(sizes.select(F.col("doc_id").alias("id"), "n"), "id"))
+    named = rows.join(roots, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    main = named.groupBy("level", "key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    apart = named.join(main.select("level", "key", "main"), ["level", "key"])
     links = kept.write(stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size)))
     linked = components(kept, links).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
 

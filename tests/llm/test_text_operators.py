@@ -277,6 +277,7 @@ def test_url_rules_and_words(spark):
         (10, "ftp://line\nbreak.net/y", "line\nbreak.net", "/y", "net/", "block"), (11, "http://free-bets.example.com/", "free-bets.example.com", "/", None, "block"),
         (12, "http://free.example.com/", "free.example.com", "/", None, None),
     ] + [(100 + k, f"http://blog.tion{k % 3}.example.com/en/{k}", f"blog.tion{k % 3}.example.com", f"/en/{k}", None, "allow") for k in range(30)]
+    rows += [(200 + k, f"http://free-bets.example.com/en/{k}", "free-bets.example.com", f"/en/{k}", None, "block") for k in range(10)]
     pages = spark.createDataFrame([(i, u, "html", "x") for i, u, *_ in rows], "page_id long, url string, html string, rule string")
     got = {r.page_id: r for r in urls.judge_pages(pages, urls.fit(pages)).collect()}
     for i, _, host, path, rule, verdict in rows:
