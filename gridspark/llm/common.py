@@ -18,7 +18,17 @@ WORD_BYTES = bytes(
 )
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a batch is held in memory several times over.
+BATCH = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,6 +36,7 @@ class Kept:
     """Intermediate results as Parquet in the shared folder, which outlive lost executors and cut the lineage."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, checkpoint_dir(spark)
         self.paths: dict[int, str] = {}
 
@@ -79,7 +90,7 @@ class WordHashes:
     by powers of an odd number, mixed. `letters` maps a byte to the one it counts as; blanks part words."""
 
     #: Bytes of text that are hashed in one go, unless one text is longer.
-    AT_ONCE = 1 << 20
+    AT_ONCE = 1 << 19
 
     def __init__(self, letters: bytes, blanks: bytes):
         rng = np.random.default_rng(17)
