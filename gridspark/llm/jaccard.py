@@ -26,7 +26,7 @@ from gridspark.llm.common import Kept, components, mixed, printed, tested, with_
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
 #: Classes that a key may have before its classes are ordered by rarity.
-HOT = 4096
+HOT = 256
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
 
