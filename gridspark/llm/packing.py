@@ -21,7 +21,7 @@ from gridspark.llm.common import Kept
 
 CAPACITY, END = 4096, 1
 # Entries of each of the two generations of a Python worker's word cache, and characters encoded in one go.
-CACHE, AT_ONCE = 250_000, 2_000_000
+CACHE, AT_ONCE = 500_000, 2_000_000
 # ASCII marks that end a word for the tokenizer wherever they follow a letter; an apostrophe may not.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Pieces that one numbering group holds on average.
