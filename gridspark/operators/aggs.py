@@ -24,7 +24,8 @@ def cell_maxima(
 ) -> DataFrame:
     """Per cell: the maximum of each value and its earliest time, minimum depth and first arrival.
 
-    With a `level` column only rows of the cell's finest level count for maxima.
+    With a `level` column only rows of the cell's finest level count for maxima, the finest with a value of its own;
+    missing (NULL or NaN) values do not count.
     Arrival is the first time deeper than `dry` and, given `sea_level`, with a
     surface above it by `arrival_tol`.
     """
@@ -36,12 +37,13 @@ def cell_maxima(
 
     def peak(v: str) -> list[Column]:
         # Earliest among equal maxima: order by level, then value, both descending, then time.
-        best = F.min(F.struct((-level).alias("l"), (-F.col(v)).alias("v"), F.col("t").alias("t")))
+        given = F.col(v).isNotNull() & ~F.isnan(v)
+        best = F.min(F.when(given, F.struct((-level).alias("l"), (-F.col(v)).alias("v"), F.col("t").alias("t"))))
         return [(-best["v"]).alias(f"max_{v}"), best["t"].alias(f"time_{v}")]
 
     return frames.groupBy(*by, "i", "j").agg(
         *[c for v in values for c in peak(v)],
-        F.min(F.struct((-level).alias("l"), F.col("h").alias("h")))["h"].alias("min_h"),
+        F.min(F.when(F.col("h").isNotNull() & ~F.isnan("h"), F.struct((-level).alias("l"), F.col("h").alias("h"))))["h"].alias("min_h"),
         F.min(F.when(wet, F.col("t"))).alias("arrival"),
     )
 

@@ -102,10 +102,10 @@ def top_cells(cells: DataFrame, k: int, value: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(field)).where(F.col("rank") <= k)
 
 
-def flatten_config(runs: DataFrame, column: str = "conf", depth: int = 4) -> DataFrame:
-    """Nested JSON objects to (run, key, value) with dotted keys; lists and deeper objects stay JSON text."""
+def flatten_config(runs: DataFrame, column: str = "conf") -> DataFrame:
+    """Nested JSON objects to (run, key, value) with dotted keys, to any depth; lists stay JSON text."""
     out = runs.select("run", F.lit("").alias("_p"), F.col(column).alias("value"), F.lit(True).alias("_open"))
-    for level in range(depth):
+    while not out.where("_open").isEmpty():
         nested = F.from_json(F.when(F.col("_open"), F.col("value")), "map<string,string>")
         kv = out.select("run", "_p", "value", "_open", F.explode_outer(nested).alias("_k", "_v"))
         key = F.when(F.col("_p") == "", F.col("_k")).otherwise(F.concat_ws(".", "_p", "_k"))

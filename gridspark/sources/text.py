@@ -194,8 +194,9 @@ def scan_timing(spark: SparkSession, path: str, glob: str = "timing*.csv") -> Da
     """Wide timing tables to (run, t, level, wall, cpu, cells); level 0 holds the totals."""
     n = F.transform(tokens(), number)
     t = lines(spark, path, glob).select("run", n.alias("_t")).where(F.col("_t")[0].isNotNull())
+    last = (F.size("_t") / 3).cast("int") - 1
     per = F.transform(
-        F.sequence(F.lit(1), (F.size("_t") / 3).cast("int") - 1),
+        F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
         lambda k: F.struct(k.alias("level"), F.col("_t")[3 * k].alias("wall"), F.col("_t")[3 * k + 1].alias("cpu"), F.col("_t")[3 * k + 2].alias("cells")),
     )
     total = F.array(F.struct(F.lit(0).alias("level"), F.col("_t")[1].alias("wall"), F.col("_t")[2].alias("cpu"), F.lit(0.0).alias("cells")))

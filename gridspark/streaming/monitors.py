@@ -29,7 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def stream_cell_maxima(frames: DataFrame, value: str = "h", dry: float = schema.WET_DEPTH) -> DataFrame:
     """Per cell: maximum, its earliest time, first arrival. Update mode, built-in aggregation."""
-    best = F.min(F.struct((-F.col(value)).alias("v"), F.col("t").alias("t")))
+    given = F.col(value).isNotNull() & ~F.isnan(value)
+    best = F.min(F.when(given, F.struct((-F.col(value)).alias("v"), F.col("t").alias("t"))))
     return (
         frames.groupBy("run", "i", "j")
         .agg(best.alias("_b"), F.min(F.when(F.col("h") > dry, F.col("t"))).alias("arrival"))
@@ -58,8 +59,8 @@ class _LevelMaxima(StatefulProcessor):
             # Coarse to fine within one time, so a finer value of the same instant wins.
             for lev, part in at.groupby("level", sort=True):
                 k = (part["j"].to_numpy() % TILE) * TILE + part["i"].to_numpy() % TILE
-                v, h = part["value"].to_numpy(), part["h"].to_numpy()
-                use = lev >= level[k]
+                v, h = part["value"].to_numpy(dtype=float), part["h"].to_numpy(dtype=float)
+                use = (lev >= level[k]) & ~np.isnan(v)
                 up = use & ((lev > level[k]) | ~(v <= peak[k]))
                 peak[k[up]], time[k[up]] = v[up], t
                 level[k[use]] = lev
@@ -209,8 +210,8 @@ def stream_log_alerts(log: DataFrame) -> DataFrame:
 
 
 def stream_progress(frames: DataFrame, runs: DataFrame) -> DataFrame:
-    """Frames written and expected per run, from a stream of (run, frame) and `runs(run, expected)`. Update mode."""
-    seen = frames.join(runs.select("run", "expected"), "run").groupBy("run", "expected").agg(F.count("frame").alias("written"))
+    """Different frames written and expected per run, from a stream of (run, frame) and `runs(run, expected)`. Update mode."""
+    seen = frames.join(runs.select("run", "expected"), "run").groupBy("run", "expected").agg(F.size(F.collect_set("frame")).cast("long").alias("written"))
     return seen.withColumn("complete", F.col("written") >= F.col("expected"))
 
 

@@ -234,3 +234,27 @@ def test_selection_needs_every_fold(spark):
     ranked = windows.rank_candidates(ranking.candidate_scores(pairs, e, ["good", "poor"]))
     out = ranking.selection(ranked, details, ranking.leave_one_out(pairs, ["good", "poor"])).first()
     assert (out["status"], out["candidate"], out["wins"]) == ("selected", "good", 4)
+
+
+def test_missing_values_do_not_wipe_maxima(spark):
+    from gridspark.operators import aggs
+
+    rows = [(0, 0, t, h, 0) for t, h in ((0.0, 1.0), (1.0, None), (2.0, 5.0), (3.0, float("nan")))]
+    frames = spark.createDataFrame(rows, "i int, j int, t double, h double, level int")
+    got = aggs.cell_maxima(frames, ("h",)).first()
+    assert (got["max_h"], got["time_h"], got["min_h"]) == (5.0, 2.0, 1.0)
+
+
+def test_config_is_flattened_to_any_depth(spark):
+    from gridspark.operators import tables
+
+    deep = spark.createDataFrame([("r", '{"a":{"b":{"c":{"d":{"e":{"f":1}}}}},"x":[1]}')], "run string, conf string")
+    assert {(r.key, r.value) for r in tables.flatten_config(deep).collect()} == {("a.b.c.d.e.f", "1"), ("x", "[1]")}
+
+
+def test_stability_marks_with_much_white_space(spark):
+    from gridspark.operators import logs
+
+    text = "Courant number  =   1.5" + " " * 250 + "\nis larger than input cfl_max = 1.0 on grid 3 level 2"
+    got = logs.log_diagnostics(spark.createDataFrame([("r", "log", 0, text)], "run string, source string, part int, text string")).first()
+    assert (got["violations"], got["max_violating"], got["first_grid"]) == (1, 1.5, 3)
