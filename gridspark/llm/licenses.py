@@ -35,7 +35,6 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the mozilla public license v [[.]] 2 0",
     "public-domain": "[[this is]] free and unencumbered software released into the public domain",
 }
-#: Every use of a word set that all texts of a template need: what is rarest comes first in a scan.
 
 
 @dataclass
