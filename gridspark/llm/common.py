@@ -32,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Spark's setting for removing an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Kept:
     """Intermediate results as Parquet in the shared folder, which outlive lost executors and cut the lineage."""
 
@@ -42,7 +46,13 @@ class Kept:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root.rstrip('/')}/kept-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        # What the write shuffled is of no use once the table is there.
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -186,7 +186,7 @@ def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataF
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
-    """Of pairs (a, b, na, nb) those whose bitmaps allow it and whose exact intersection reaches the similarity."""
+    """Of pairs (a, b, na, nb) those whose bitmaps allow it and whose exact intersection reaches the similarity, written."""
     side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("bitmap").alias(f"m{x}"))
     bounded = pairs.where(possible(F.col("na"), F.col("nb"), F.abs(F.col("na") - F.col("nb")), reach)).join(side("a"), "a").join(side("b"), "b")
     likely = kept.write(bounded.where(possible(F.col("na"), F.col("nb"), differing("ma", "mb"), reach)).select("a", "b", "na", "nb"))
@@ -196,7 +196,9 @@ def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame,
     arrays = kept.write(arrays.where("length(shingles) = 8 * n").dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
     side = lambda x: arrays.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     full = likely.join(side("a"), "a").join(side("b"), "b").withColumn("both", common("sa", "sb"))
-    return full.where((100 + reach) * F.col("both") >= reach * (F.col("na") + F.col("nb"))).select("a", "b")
+    out = kept.write(full.where((100 + reach) * F.col("both") >= reach * (F.col("na") + F.col("nb"))).select("a", "b"))
+    kept.drop(likely, arrays)
+    return out
 
 
 def jaccard_join(
@@ -236,20 +238,21 @@ def jaccard_join(
     calm = live.where(F.col("k") <= hot).join(busy, "id", "left").select(F.lit(0).alias("level"), "key", "id", "n", F.coalesce("missing", F.lit(0)).alias("missing"))
     anew = rare_first(texts, busy.select("id"), size, reach).select(F.lit(1).alias("level"), "key", "id", "n", F.lit(0).cast("long").alias("missing"))
     rows = kept.write(calm.unionByName(anew))
-    kept.drop(live)
+    kept.drop(live, busy)
 
     # First the smallest class of every key against the others of the key.
     low = rows.groupBy("level", "key").agg(F.min(F.struct("id", "n")).alias("l")).select("level", "key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
     star = rows.join(low, ["level", "key"]).where("a <> id").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
     star = star.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb")).distinct()
-    stars = kept.write(confirmed(kept, star, texts, sizes, reach, size))
+    stars = confirmed(kept, star, texts, sizes, reach, size)
     roots = kept.write(components(kept, stars))
 
     # Then all that is not connected yet, tile by tile.
     named = rows.join(roots, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     main = named.groupBy("level", "key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     apart = named.join(main.select("level", "key", "main"), ["level", "key"])
-    links = kept.write(stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size)))
+    links = stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size))
+    kept.drop(rows, sizes)
     linked = components(kept, links).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))
 
     counts = base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
