@@ -27,6 +27,8 @@ from gridspark.llm.common import Kept, components, mixed, printed, tested, with_
 WORDS, REACH = 5, 80
 #: Classes that a key may have before its classes are ordered by rarity.
 HOT = 256
+#: Buckets of shingle hashes that the order by rarity counts.
+RARITY = 1 << 18
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
 
@@ -163,26 +165,42 @@ def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
     return counted.where((100 + reach) * most >= reach * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
 
 
-def rare_first(texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
-    """(key, id, n) of the classes `ids` with their shingles ordered by how many of these classes have them.
+def rare_first(kept: Kept, texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
+    """(key, id, n) of the classes `ids` (id, n): first shingles of each in an order by how often these classes have one.
 
-    Shingles that only one class has come first in the order and meet no other: they are counted, not moved again."""
-    ids = ids.withColumnRenamed("id", "doc_id")
-    sets = shingle_arrays(with_ids(texts, ids, "doc_id"), size, "doc_id", "text").groupBy("doc_id").agg(F.max_by("shingles", F.length("shingles")).alias("shingles"))
+    Counts are kept for RARITY buckets of hashes, a table whose size does not grow with the data; any order that all
+    sets share finds all pairs, so buckets cost candidates, never links. Shingles in one class alone are left out. An
+    id that repeats with another text of the same size has the first shingles of both: more keys, no fewer."""
+    ids = ids.select(F.col("id").alias("doc_id"), "n")
+    busy = kept.write(tested(texts, ids, "doc_id").where("_maybe").drop("_maybe").join(ids, "doc_id"))
 
-    @F.arrow_udf("array<bigint>")
-    def unpack(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for blobs in parts:
-            lists = [np.frombuffer(b.as_buffer(), np.int64) for b in blobs]
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([*lists, np.empty(0, np.int64)]), pa.int64()))
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, total = Shingler(size), np.zeros(RARITY, np.int64)
+        for batch in parts:
+            for s in shingle(batch["text"]):
+                np.add.at(total, (s & np.uint64(RARITY - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "often"])
 
-    n = (F.length("shingles") / 8).cast("int")
-    rows = sets.select(F.col("doc_id").alias("id"), n.alias("n"), F.explode(unpack("shingles")).alias("key")).repartition("key")
-    often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    ordered = rows.join(often, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
-    # Of the prefix of n - ceil(reach n) + 1 shingles the n - size(s) rarest stand before the shared ones.
-    first = F.expr(f"slice(s, 1, greatest(0, n - cast(ceil(n * {reach} / 100) as int) + 1 - (n - size(s))))")
-    return ordered.select("id", "n", F.explode(first).alias("s")).select("s.key", "id", "n")
+    sums = busy.select("text").mapInArrow(count, "bucket int, often long").groupBy("bucket").agg(F.sum("often").alias("often")).toPandas()  # RARITY rows at most
+    often = np.zeros(RARITY, np.int64)
+    often[sums["bucket"].to_numpy(np.int64)] = sums["often"].to_numpy(np.int64)
+
+    @F.arrow_udf("struct<n:int,first:array<bigint>>")
+    def rarest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shingle = Shingler(size)
+        for some in parts:
+            n, firsts = [], []
+            for s in shingle(some):
+                order = np.lexsort((s, often[(s & np.uint64(RARITY - 1)).astype(np.int64)]))
+                n.append(len(s))
+                firsts.append(s[order[:prefix_length(len(s), reach)]].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.empty(0, np.int64)]), pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), lists], ["n", "first"])
+
+    sets = busy.select("doc_id", "n", rarest("text").alias("s")).where("n = s.n")
+    keys = sets.select(F.explode("s.first").alias("key"), F.col("doc_id").alias("id"), "n").repartition("key")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
@@ -233,10 +251,9 @@ def jaccard_join(
     live = kept.write(keys.join(shared, "key"))
     sizes = kept.write(meta.select("doc_id", "n", "bitmap"))
     kept.drop(meta)
-    left_out = live.where(F.col("k") > hot).groupBy("id").agg(F.count("*").alias("missing"))
-    busy = kept.write(left_out)
-    calm = live.where(F.col("k") <= hot).join(busy, "id", "left").select(F.lit(0).alias("level"), "key", "id", "n", F.coalesce("missing", F.lit(0)).alias("missing"))
-    anew = rare_first(texts, busy.select("id"), size, reach).select(F.lit(1).alias("level"), "key", "id", "n", F.lit(0).cast("long").alias("missing"))
+    busy = kept.write(live.where(F.col("k") > hot).groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("missing")))
+    calm = live.where(F.col("k") <= hot).join(busy.select("id", "missing"), "id", "left").select(F.lit(0).alias("level"), "key", "id", "n", F.coalesce("missing", F.lit(0)).alias("missing"))
+    anew = rare_first(kept, texts, busy, size, reach).select(F.lit(1).alias("level"), "key", "id", "n", F.lit(0).cast("long").alias("missing"))
     rows = kept.write(calm.unionByName(anew))
     kept.drop(live, busy)
 
