@@ -40,17 +40,28 @@ def _corners(points: DataFrame, grid: Geometry) -> DataFrame:
     return points.select(*points.columns, F.inline(four))
 
 
+def _once(points: DataFrame) -> DataFrame:
+    """Equal points as one row with their number `_times`: sums over corners must not mix them."""
+    return points.groupBy(*points.columns).agg(F.count("*").cast("int").alias("_times"))
+
+
+def _again(sampled: DataFrame) -> DataFrame:
+    """As many rows as there were equal points."""
+    return sampled.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times")
+
+
 def sample_bilinear(cells: DataFrame, points: DataFrame, grid: Geometry, value: str = "z") -> DataFrame:
     """`value` at each point of each field: bilinear between centres.
 
     NULL outside the hull of centres or next to a missing corner. Points carrying a
-    `run` column meet that run only.
+    `run` column meet that run only; equal points are answered each.
     """
+    points = _once(points)
     on = [k for k in grain(cells) if k in points.columns]
     by = [*grain(cells), *[c for c in points.columns if c not in on]]
     hit = cells.select(*grain(cells), "i", "j", value).join(_corners(points, grid), [*on, "i", "j"])
     whole = F.min("_in") & (F.count(value) == 4)
-    return hit.groupBy(*by).agg(F.when(whole, F.sum(F.col("_w") * F.col(value))).alias(value))
+    return _again(hit.groupBy(*by).agg(F.when(whole, F.sum(F.col("_w") * F.col(value))).alias(value)))
 
 
 def sample_nearest(cells: DataFrame, points: DataFrame, grid: Geometry, value: str = "z") -> DataFrame:
@@ -73,8 +84,10 @@ def sample_wet_bilinear(
 ) -> DataFrame:
     """Bilinear where all four corners hold water (h >= dry / 10), else the containing cell's value.
 
-    Corners are held to the grid; points outside it give NULL.
+    Corners are held to the grid; points outside it give NULL. A corner without a depth or value
+    is no water. Equal points are answered each.
     """
+    points = _once(points)
     on = [k for k in grain(frames) if k in points.columns]
     inside = F.coalesce(grid.contains(F.col("x"), F.col("y")), F.lit(False))
     x = (F.col("x") - (grid.xmin + grid.dx / 2)) / grid.dx
@@ -95,12 +108,13 @@ def sample_wet_bilinear(
     keyed = points.select(*points.columns, F.inline(corners))
     by = [*grain(frames), *[c for c in points.columns if c not in on]]
     hit = frames.select(*grain(frames), "i", "j", "h", F.col(value).alias("_v")).join(keyed, [*on, "i", "j"])
-    return hit.groupBy(*by).agg(
+    wet = (F.count(F.when(F.col("_v").isNotNull(), F.col("h"))) == 4) & (F.min("h") >= 0.1 * dry)
+    return _again(hit.groupBy(*by).agg(
         F.when(
             F.min("_in"),
-            F.when(F.min("h") >= 0.1 * dry, F.sum(F.col("_w") * F.col("_v"))).otherwise(F.max(F.when(F.col("_own"), F.col("_v")))),
+            F.when(wet, F.sum(F.col("_w") * F.col("_v"))).otherwise(F.max(F.when(F.col("_own"), F.col("_v")))),
         ).alias(value)
-    )
+    ))
 
 
 def frame_spans(frames: DataFrame) -> DataFrame:
@@ -159,7 +173,8 @@ def bracket_times(points: DataFrame, spans: DataFrame, width: float, by: list[st
 def interp_space_time(
     frames: DataFrame, points: DataFrame, grid: Geometry, value: str, width: float, hold: bool = False
 ) -> DataFrame:
-    """`value` at points (x, y, t): bilinear in the two frames around t, then linear in t."""
+    """`value` at points (x, y, t): bilinear in the two frames around t, then linear in t. Equal points are answered each."""
+    points = _once(points)
     by = grain(frames, "frame")
     timed = bracket_times(points, frame_spans(frames), width, by, hold)
     pair = F.array(
@@ -171,7 +186,7 @@ def interp_space_time(
     two = timed.select(*keys, "_ok", F.size(pair).alias("_n"), F.inline(pair))
     hit = frames.select(*grain(frames), "i", "j", value).join(_corners(two, grid), [*by, "frame", "i", "j"])
     whole = F.min("_in") & F.min("_ok") & (F.count(value) == 4 * F.max("_n"))
-    return hit.groupBy(*keys).agg(F.when(whole, F.sum(F.col("_w") * F.col("_wf") * F.col(value))).alias(value))
+    return _again(hit.groupBy(*keys).agg(F.when(whole, F.sum(F.col("_w") * F.col("_wf") * F.col(value))).alias(value)))
 
 
 def interp_field_time(frames: DataFrame, times: DataFrame, value: str, width: float, hold: bool = True) -> DataFrame:

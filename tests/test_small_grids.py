@@ -38,6 +38,16 @@ def test_plane_gradient_and_sampling(spark):
     assert at == {1: 5.5, 2: None, 3: None, 4: None}
 
 
+def test_equal_points_and_missing_corners(spark):
+    rows = [("r", i, j, None if (i, j) == (2, 2) else 8.0, 8.0) for i in range(3) for j in range(3)]
+    cells = spark.createDataFrame(rows, "run string, i int, j int, z double, h double")
+    pts = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.5, 0.5), (2, 1.4, 1.4), (3, 1.6, 1.6)], "pid int, x double, y double")
+    box = Geometry(-0.5, -0.5, 1, 1, 3, 3)
+    order = lambda df: sorted((r["pid"], r["z"]) for r in df.collect())
+    assert order(sampling.sample_bilinear(cells, pts, box)) == [(1, 8.0), (1, 8.0), (2, None), (3, None)]
+    assert order(sampling.sample_wet_bilinear(cells, pts, box, "z", dry=0.1)) == [(1, 8.0), (1, 8.0), (2, 8.0), (3, None)]
+
+
 def test_gradient_equals_numpy_over_tiles(spark):
     rng = np.random.default_rng(1)
     z = rng.random((17, 23))
