@@ -62,20 +62,30 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = set().union(*split) - known.keys()
-        known.update((c, older[c]) for c in new & older.keys())
+        # One look at each chunk; those not remembered are noted with their place.
+        found, gaps = [list(map(known.get, s)) for s in split], []
+        for s, got in zip(split, found):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                gaps.append((got, at, s[at]))
+        new = {c for _, _, c in gaps}
+        # Asked key by key: a difference of a set and a dictionary's keys goes through all the keys.
+        known.update([(c, older[c]) for c in new if c in older])
         parts, fresh = [], set()
-        for c in new - known.keys():
+        for c in [c for c in new if c not in known]:
             stem = c.rstrip(MARKS)
             if len(stem) < len(c) and stem[-1:].isalpha():
                 parts.append((c, stem, c[len(stem):]))
                 fresh.update(parts[-1][1:])
             else:
                 fresh.add(c)
-        self.learn(list(fresh - known.keys()))
+        self.learn([c for c in fresh if c not in known])
         known.update([(c, known[stem] + known[end]) for c, stem, end in parts])
+        for got, at, c in gaps:
+            got[at] = known[c]
         # A special token's spelling is met only in the text as it stands.
-        return [self.whole(t) if "<|" in t else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split)]
+        return [self.whole(t) if "<|" in t else b"".join(got) for t, got in zip(texts, found)]
 
 
 def encoded(encode: Encoder, texts: pa.Array) -> Iterator[bytes]:
