@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import Geometry, grain, halo_tiles
 from gridspark.functions.keys import to_int
 from gridspark.functions.tiles import TILE, home
 
+# Nearness to a grid line, in cells, that counts as lying on it.
+SNAP = 1e-9
+
 
 def shoreline_faces(wet: DataFrame, grid: Geometry) -> DataFrame:
     """A face for every wet cell side whose neighbour is dry or outside: centre, inward normal, length.
@@ -86,28 +89,29 @@ def points_in_polygons(cells: DataFrame, polys: DataFrame, grid: Geometry) -> Da
 
 
 def boundary_cells(polys: DataFrame, grid: Geometry) -> DataFrame:
-    """Cells whose closed square a ring segment touches: one row of cells at a time, then a column range."""
-    eps = 16 * 2.220446049250313e-16
-    e = _edges(polys)
-
-    def span(lo: Column, hi: Column, low: float, d: float, n: int) -> tuple[Column, Column]:
-        tol = eps * F.greatest(F.lit(1.0), F.abs(lo), F.abs(hi), F.lit(d))
-        first = F.ceil((lo - tol - low) / d) - 1
-        last = F.floor((hi + tol - low) / d)
-        return F.greatest(F.lit(0), first).cast("int"), F.least(F.lit(n - 1), last).cast("int")
-
-    j0, j1 = span(F.least("y0", "y1"), F.greatest("y0", "y1"), grid.ymin, grid.dy, grid.nrows)
-    e = e.withColumns({"_j0": j0, "_j1": j1}).where("_j0 <= _j1").withColumn("j", F.explode(F.sequence("_j0", "_j1")))
-    bottom = grid.ymin + F.col("j") * grid.dy
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    s0, s1 = F.try_divide(bottom - F.col("y0"), dy), F.try_divide(bottom + grid.dy - F.col("y0"), dy)
-    enter = F.greatest(F.lit(0.0), F.coalesce(F.least(s0, s1), F.lit(0.0)))
-    leave = F.least(F.lit(1.0), F.coalesce(F.greatest(s0, s1), F.lit(1.0)))
-    flat_in = (dy != 0) | ((F.col("y0") >= bottom) & (F.col("y0") <= bottom + grid.dy))
-    e = e.withColumns({"_in": enter, "_out": leave}).where(flat_in & (F.col("_in") <= F.col("_out")))
-    xa, xb = F.col("x0") + F.col("_in") * dx, F.col("x0") + F.col("_out") * dx
-    i0, i1 = span(F.least(xa, xb), F.greatest(xa, xb), grid.xmin, grid.dx, grid.ncols)
-    e = e.withColumns({"_i0": i0, "_i1": i1}).where("_i0 <= _i1").withColumn("i", F.explode(F.sequence("_i0", "_i1")))
+    """Cells whose closed square a ring segment touches.
+
+    In units of cells, a segment is cut wherever it crosses a line between two rows. What lies between two cuts is
+    in one row and touches the columns it reaches; an end, or a piece along a line, touches the squares on both sides.
+    """
+    snapped = lambda c: F.when(F.abs(c - F.round(c)) < SNAP, F.round(c)).otherwise(c)
+    point = lambda v, u: F.struct(v.alias("v"), u.alias("u"))
+    corner = lambda k: point(snapped((F.col(f"y{k}") - grid.ymin) / grid.dy), snapped((F.col(f"x{k}") - grid.xmin) / grid.dx))
+    e = _edges(polys).select(corner(0).alias("c0"), corner(1).alias("c1"))
+    e = e.select(F.least("c0", "c1").alias("low"), F.greatest("c0", "c1").alias("high"))
+    across = F.try_divide(F.col("high.u") - F.col("low.u"), F.col("high.v") - F.col("low.v"))
+    first = F.greatest(F.lit(0), F.floor("low.v") + 1).cast("int")
+    last = F.least(F.lit(grid.nrows), F.ceil("high.v") - 1).cast("int")
+    lines = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    cuts = F.transform(lines, lambda k: point(k.cast("double"), snapped(F.col("low.u") + (k - F.col("low.v")) * across)))
+    # The lower end twice: a piece without length for the squares that meet in it.
+    e = e.select(F.concat(F.array("low", "low"), cuts, F.array("high")).alias("stops"))
+    e = e.select(F.explode(F.transform("stops", lambda s, n: F.struct(s.alias("s"), F.coalesce(F.get("stops", n + 1), s).alias("t")))).alias("p"))
+    level = F.col("p.s.v") == F.col("p.t.v")
+    side = lambda lo, hi, n: F.when((hi >= 0) & (lo < n), F.sequence(F.greatest(F.lit(0), lo).cast("int"), F.least(F.lit(n - 1), hi).cast("int")))
+    row = F.floor("p.s.v")
+    e = e.withColumn("j", F.explode(side(F.when(level, F.ceil("p.s.v") - 1).otherwise(row), row, grid.nrows)))
+    e = e.withColumn("i", F.explode(side(F.ceil(F.least("p.s.u", "p.t.u")) - 1, F.floor(F.greatest("p.s.u", "p.t.u")), grid.ncols)))
     return e.select("i", "j").distinct()
 
 
