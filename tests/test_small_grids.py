@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -268,3 +269,31 @@ def test_stability_marks_with_much_white_space(spark):
     text = "Courant number  =   1.5" + " " * 250 + "\nis larger than input cfl_max = 1.0 on grid 3 level 2"
     got = logs.log_diagnostics(spark.createDataFrame([("r", "log", 0, text)], "run string, source string, part int, text string")).first()
     assert (got["violations"], got["max_violating"], got["first_grid"]) == (1, 1.5, 3)
+
+
+def touches(a, b, i, j):
+    """Whether the segment from a to b meets the closed unit square (i, j), in fractions."""
+    lo, hi = Fraction(0), Fraction(1)
+    for p, q, low in ((a[0], b[0], i), (a[1], b[1], j)):
+        if p == q:
+            if not low <= p <= low + 1:
+                return False
+            continue
+        s, t = sorted((edge - p) / (q - p) for edge in (low, low + 1))
+        lo, hi = max(lo, s), min(hi, t)
+    return lo <= hi
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_outline_touches_closed_squares(spark, seed):
+    rng = random.Random(seed)
+    # Corners on quarters: many lie on grid lines, some outside; the last ring runs along lines.
+    rings = [[(Fraction(rng.randint(-8, 40), 4), Fraction(rng.randint(-8, 40), 4)) for _ in range(3)] for _ in range(4)]
+    rings.append([(Fraction(x), Fraction(y)) for x, y in ((2, 2), (5, 2), (5, 4), (2, 4))])
+    ring = "array<struct<x:double,y:double>>"
+    polys = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r], []) for k, r in enumerate(rings)], f"pid int, exterior {ring}, holes array<{ring}>")
+    expected = {
+        (i, j) for r in rings for a, b in zip(r, r[1:] + r[:1]) for i in range(8) for j in range(7) if touches(a, b, i, j)
+    }
+    got = [(r["i"], r["j"]) for r in geometry.boundary_cells(polys, Geometry(0.0, 0.0, 1.0, 1.0, 8, 7)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
