@@ -318,6 +318,17 @@ def test_personal_data_against_brute_force(docs, odd, none):
     assert {r.doc_id: r.t for r in masked}[9].endswith("mail <email>") and {r.doc_id: r.t for r in masked}[1] is None
 
 
+def test_loose_writings_reach_the_trees(docs):
+    model = pii.fit(docs)
+    for text, want in [
+        ("call (555) 123-4567 now", ("phone", "(555) 123-4567")), ("ring 030 1234567 today", ("phone", "030 1234567")),
+        ("host 192,168,10,1 is up", ("ip", "192,168,10,1")), ("write john12 (at) x (dot) org soon", ("email", "john12 (at) x (dot) org")),
+        ("pay 4111.1111.1111.1111 now", ("card", "4111.1111.1111.1111")), ("addr 999,1,1,1 no", None), ("card 4111 1111 1111 1112 x", None), ("v 1,234,567,890", None),
+    ]:
+        good, added = pii.all_spans(text, model)
+        assert not good and [(k, text[a:b]) for k, a, b in added] == ([want] if want else []), text
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, pii.FEATURES))
