@@ -286,6 +286,15 @@ def test_url_rules_and_words(spark):
     assert urls.judge_pages(pages.limit(0), urls.fit(pages.limit(0))).count() == 0
 
 
+def test_registered_names_are_segmented(spark):
+    assert urls.names("freebets.com", "/x") == (["freebets"], ["x"]) and urls.names("www.freebets.co.uk.", "") == (["www", "freebets", "co"], [])
+    rows = [(1, "http://freebets.com"), (2, "http://cheapcasinoslots.com/"), (3, "http://www.freebets.org/a")]
+    rows += [(100 + k, f"http://blog{k % 3}.site.com/en/{k}") for k in range(30)] + [(200 + k, f"http://free.bets.com/en/{k}") for k in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge_pages(pages, urls.fit(pages)).collect()}
+    assert all(got[i].verdict == "block" and got[i].score > 0 for i in (1, 2, 3)) and all(got[100 + k].verdict == "allow" for k in range(30))
+
+
 def test_segmenter_finds_words():
     logs = {w: math.log(n / 100) for w, n in {"free": 20, "bets": 10, "cheap": 10, "pills": 10, "f": 1}.items()}
     segment = urls.Segmenter(logs, 100)
