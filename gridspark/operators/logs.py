@@ -31,8 +31,9 @@ FAILURES = (
 )
 
 # Stability records: accepted steps over the limit, rejected trials, largest number seen. Marks are counted also when
-# wrapped over lines; details are taken from records whose wording stands on one line.
-OVER_MARK = phrase("Courant number", "=", FIELD, "is larger than input cfl_max")
+# wrapped over lines and whatever is printed for the number (asterisks, Infinity, NaN, nothing); details are taken from
+# records whose wording stands on one line.
+OVER_MARK = phrase("Courant number", "=", r"(\S*)", "is larger than input cfl_max")
 OVER = phrase("Courant number", "=", FIELD, "is larger than input cfl_max", "=", FIELD, "on grid", WHOLE, "level", WHOLE, gap=" ")
 REJECTED_MARK = phrase("rejected CFL trial")
 REJECTED = phrase("rejected CFL trial level", WHOLE, "CFL", "=", FIELD)

@@ -271,6 +271,15 @@ def test_stability_marks_with_much_white_space(spark):
     assert (got["violations"], got["max_violating"], got["first_grid"]) == (1, 1.5, 3)
 
 
+@pytest.mark.parametrize("field", ["********", "Infinity", "NaN", "+Infinity", "", "0.2185D+02"])
+def test_stability_marks_with_any_printed_field(spark, field):
+    from gridspark.operators import logs
+
+    text = f"Courant number = {field} is larger\nthan input cfl_max = 1.0\nmaximum Courant number seen = 1.00\nCourant number  = {field}  is larger than input cfl_max =   0.1000D+01  on grid 180 level   1"
+    got = logs.log_diagnostics(spark.createDataFrame([("r", "amr", 0, text)], "run string, source string, part int, text string")).first()
+    assert (got["violations"], got["max_violating"], got["max_courant"]) == (2, 21.85 if "D" in field else None, 1.0)
+
+
 def touches(a, b, i, j):
     """Whether the segment from a to b meets the closed unit square (i, j), in fractions."""
     lo, hi = Fraction(0), Fraction(1)
