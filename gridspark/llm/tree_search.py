@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample and every vector is put into a leaf. A query visits leaves in the order of a
 priority queue over the tree's nodes. How many leaves are visited is calibrated: a bounded set of queries is answered
-exactly against all vectors, block by block, and the visits widen until the wanted recall is reached on them. Queries
+exactly against all vectors, block by block, and the visits widen until the wanted recall is reached on them. A query
+whose leaves hold fewer than k vectors besides itself goes on to further leaves. Queries
 and candidates of a leaf meet in blocks of bounded size; a leaf that holds a third of all vectors is many blocks.
 """
 
@@ -58,14 +59,16 @@ class Tree:
             at = below
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a query, best bin first: the node nearest to the query, of all seen, is opened next."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves of a query, and further ones until those hold (`held`, by leaf) `least` vectors; best
+        bin first: the node nearest to the query, of all seen, is opened next."""
+        heap, out, got = [(0.0, 0)], [], 0
+        while heap and (len(out) < most or held is not None and got < least):
             _, node = heapq.heappop(heap)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf_of[node])
+                got += int(held[out[-1]]) if held is not None else 0
                 continue
             far = ((self.centres[kids] - q) ** 2).sum(1)
             for d, kid in zip(far.tolist(), kids):
@@ -154,8 +157,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors found of every row that `queries` (on column id) selects.
 
-    Score is the cosine in double precision; ties go to the smaller id; a query with fewer candidates gets all of those
-    found. NULL, zero or non-finite vectors, those of another length than most and NULL ids take no part; rows that
+    Score is the cosine in double precision; ties go to the smaller id; a query with fewer candidates gets all of
+    them. NULL, zero or non-finite vectors, those of another length than most and NULL ids take no part; rows that
     repeat an id are one vector. An empty table gives an empty table. Other columns are left out."""
     kept = Kept(vectors.sparkSession)
     rows = kept.write(distinct_vectors(vectors, id_col, vector_col))
@@ -167,12 +170,17 @@ def nearest(
     def leaf(lists: pa.Array) -> pa.Array:
         return pa.array(tree.assign(unit(matrix(lists, tree.centres.shape[1]))) if len(lists) else [], pa.int32())
 
+    placed = kept.write(rows.withColumn("leaf", leaf("v")))
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row per leaf
+    held = np.zeros(tree.leaves, np.int64)
+    for r in counts.collect():
+        held[r["leaf"]] = r["n"]
+    counts = counts.drop("n")
+
     @F.arrow_udf("array<int>")
     def order(lists: pa.Array) -> pa.Array:
-        return pa.array([tree.visits(q, most) for q in unit(matrix(lists, tree.centres.shape[1]))] if len(lists) else [], pa.list_(pa.int32()))
+        return pa.array([tree.visits(q, most, held, k + 1) for q in unit(matrix(lists, tree.centres.shape[1]))] if len(lists) else [], pa.list_(pa.int32()))
 
-    placed = kept.write(rows.withColumn("leaf", leaf("v")))
-    counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row per leaf
     candidates = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # As few query rows as there are (leaf, block, part) groups that they have to meet.
     share = max(1, -(-asked.count() // QUERIES))

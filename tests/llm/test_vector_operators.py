@@ -121,3 +121,12 @@ def test_components_of_long_chains_and_hubs(spark):
     want = {i: 200 for i in range(200, 261)} | {k: 5 for k in [5, *range(300, 381)]} | {9: 9, 11: 9}
     assert got == want
     assert common.components(kept, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_outliers_beside_dense_groups_get_all_their_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    dense = [c + 1e-3 * rng.normal(size=16) for c in 3 * rng.normal(size=(10, 16)) for _ in range(60)]
+    rows = [(i, np.float32(v).tolist(), 0) for i, v in enumerate([*dense, *(3 * rng.normal(size=(12, 16)))])]
+    monkeypatch.setattr(tree_search, "visits_needed", lambda *a: 1)  # what probes from dense groups alone need
+    found = tree_search.nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") >= 590).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {i: 5 for i in range(590, 612)}
