@@ -60,9 +60,11 @@ def write_archive(
     empty table gives an empty archive.
 
     Two payloads under one digest that differ in length or in an independent hash stop the write."""
-    rows = kept.write(pages.select(
+    rows = pages.select(
         F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("bytes"),
-    ).withColumns({"digest": F.sha2("bytes", 256), "length": F.octet_length("bytes").cast("long"), "row": F.monotonically_increasing_id()}))
+    ).withColumns({"digest": F.sha2("bytes", 256), "length": F.octet_length("bytes").cast("long")})
+    # Row numbers hold once they are written; payload bytes stay out of that table.
+    small = kept.write(rows.withColumn("row", F.monotonically_increasing_id()).drop("bytes"))
 
     mark = F.struct(F.length("bytes").alias("length"), F.xxhash64("bytes").alias("hash"))
     stored = rows.groupBy("digest").agg(F.min("bytes").alias("bytes"), F.min(mark).alias("low"), F.max(mark).alias("high"))
@@ -71,11 +73,12 @@ def write_archive(
 
     order = F.struct(F.col("page").isNull().alias("none"), "page", "row")
     large = F.col("length") >= revisit_from
-    small = rows.select("page", "url", "digest", "length", "row")
     # Only payloads with two records and more have anything to revisit.
     first = small.where(large).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("records")).where(F.col("records") > 1).drop("records")
     told = small.join(first, "digest", "left").withColumn("revisit", F.coalesce(F.col("first.row") != F.col("row"), F.lit(False)))
-    return Archive(kept.write(told.select("page", "row", "digest", head(date).cast("binary").alias("head"))), payloads)
+    headers = kept.write(told.select("page", "row", "digest", head(date).cast("binary").alias("head")))
+    kept.drop(small)
+    return Archive(headers, payloads)
 
 
 def head(date: str) -> Column:
