@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,8 +32,8 @@ def with_event_time(df: DataFrame, delay: str, origin: str | Column = "2000-01-0
     """Add `ts` = origin + t with a watermark of `delay`; repeats of `dedupe` keys within it are dropped.
 
     The origin must lie after 1970: a stream starts with its watermark there and a
-    row at the very start of that year would already be late. Rows behind the watermark are left out of later stateful steps; `late_rows` of a
-    finished query tells how many.
+    row at the very start of that year would already be late. Rows behind the watermark are left out of later stateful steps; `counting_late_rows`
+    tells how many.
     """
     base = F.to_timestamp(F.lit(origin)) if isinstance(origin, str) else origin
     ts = F.timestamp_millis(F.unix_millis(base) + F.round(F.col("t") * 1000).cast("long"))
@@ -36,8 +41,81 @@ def with_event_time(df: DataFrame, delay: str, origin: str | Column = "2000-01-0
     return out.dropDuplicatesWithinWatermark(dedupe) if dedupe else out
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Process what is there into `path`/batch=N folders.
+def closing_rows(ends: DataFrame, like: DataFrame, hold: float) -> DataFrame:
+    """Rows that tell a stream of the columns of `like` that its sources have ended: `ends` has their keys and last `t`.
+
+    A closing row has `done` true, NULL in all other columns and a time `hold` seconds past the end, so that it also moves the
+    watermark on: `hold` is the longest window plus the delay. The watermark is one for the whole stream, so windows
+    of other sources up to that time close with it; per-run monitors end a run by its own `done` row alone."""
+    given = ends.withColumns({"t": F.col("t") + F.lit(float(hold)), "done": F.lit(True)})
+    return given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+class LateRows(StreamingQueryListener):
+    """Rows dropped behind the watermark, of every batch of every query of a session that it listens to.
+
+    Reports come from Spark batch by batch, so none is lost however long a query runs. They are written to `path` as a table
+    (query, batch, operator, late) each time `every` of them have come, and when a query ends."""
+
+    def __init__(self, spark, path: str, every: int = 1000):
+        self.spark, self.path, self.every = spark, path, every
+        self.rows, self.lock, self.ended = [], threading.Lock(), {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self.lock:
+            self.rows += [(str(p.id), p.batchId, n, op.numRowsDroppedByWatermark) for n, op in enumerate(p.stateOperators) if op.numRowsDroppedByWatermark]
+            full = len(self.rows) >= self.every
+        if full:
+            self.flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, LATE).coalesce(1).write.mode("append").parquet(self.path)
+
+    def wait(self, query, seconds: float = 60.0) -> None:
+        """Until all reports of a finished query are written."""
+        if not self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError("the end of the query was not reported")
+        self.flush()
+
+
+LATE = "query string, batch long, operator int, late long"
+
+
+@contextmanager
+def counting_late_rows(spark, path: str):
+    """Listen for late rows while the body runs its queries; `wait` of the listener is due before it is removed."""
+    listener = LateRows(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def late_rows(spark, path: str) -> DataFrame:
+    """(query, batch, late): rows dropped as late per batch; a repeated report of a batch counts once."""
+    try:
+        rows = spark.read.schema(LATE).parquet(path)
+    except AnalysisException:
+        rows = spark.createDataFrame([], LATE)
+    return rows.groupBy("query", "batch", "operator").agg(F.max("late").alias("late")).groupBy("query", "batch").agg(F.sum("late").alias("late"))
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", late: LateRows | None = None):
+    """Process what is there into `path`/batch=N folders; `late` gets the counts of late rows.
 
     A repeated batch replaces its own folder, so results survive restarts unchanged.
     """
@@ -47,14 +125,11 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
     query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if late:
+        late.wait(query)
     return query
 
 
-def late_rows(query) -> int:
-    """Rows the stateful steps of a finished query dropped as late."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
-
-
 def latest(spark, path: str, keys: list[str]) -> DataFrame:
     """The last result of each key over all batches written in update mode."""
     rows = spark.read.parquet(path)
