@@ -2,6 +2,7 @@
 
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from gridspark.plans.aggs import RATES_SQL, TIMING_SQL, face_samples, timing
 from gridspark.plans.registry import query
 from gridspark.session import checkpoint_dir
 from gridspark.sources import decks, frames, sinks, text
+from gridspark.sources.ranges import put
 
 
 def scratch(fx, name: str) -> str:
@@ -168,18 +170,96 @@ def _(fx):
     return out.withColumns({c: F.round(c, 6) for c in ("q", "qu", "qv")})
 
 
-@query("scan_frames", "select run, frame, t, i, j, x, y, h, hu, hv, b from frames")
+def payloads(df, order, values, path: str, name, kind: str = "float64", ghosts: int = 0, width: int = 0):
+    """Write each group (run, frame, name) of rows as one binary file, groups in parallel; `ghosts` rings of NaN around each patch."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        q = pdf[values].to_numpy(kind)
+        if ghosts:
+            whole = q.reshape(-1, 50, width, len(values))
+            q = np.pad(whole, ((0, 0), (ghosts, ghosts), (ghosts, ghosts), (0, 0)), constant_values=np.nan)
+        put(f"{path}/run={pdf['run'].iloc[0]}/{pdf['name'].iloc[0]}", q.tobytes())
+        return pdf[["run"]].head(1)
+
+    df.withColumn("name", name).groupBy("run", "name").applyInPandas(write, "run string").count()
+
+
+def put_named(df, path: str):
+    """Write lines (run, name, line_no, text) as files of these names, files in parallel."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        put(f"{path}/run={pdf['run'].iloc[0]}/{pdf['name'].iloc[0]}", ("\n".join(pdf.sort_values("line_no")["text"]) + "\n").encode())
+        return pdf[["run"]].head(1)
+
+    df.select("run", "name", "line_no", "text").groupBy("run", "name").applyInPandas(write, "run string").count()
+    return path
+
+
+def file_name(stem: str, letter: str):
+    return F.concat(F.lit(f"{stem}.{letter}"), F.lpad(F.col("frame").cast("string"), 4, "0"))
+
+
+def time_lines(frames_, stem: str, form: str, meqn: int, ghosts: int = 0):
+    """Time files of (run, frame, t)."""
+    text = F.array(*[F.concat_ws(" ", v, F.lit(w)) for v, w in ((F.col("t").cast("string"), "time"), (F.lit(meqn), "meqn"), (F.lit(ghosts), "num_ghost"), (F.lit(form), "file_format"))])
+    return frames_.select("run", file_name(stem, "t").alias("name"), F.posexplode(text).alias("line_no", "text"))
+
+
+GRID_WORDS = (("1", "grid_number"), ("1", "AMR_level"), ("64", "mx"), ("50", "my"), ("0.0", "xlow"), ("0.0", "ylow"), ("1.0", "dx"), ("1.0", "dy"))
+FRAMES_SQL = "select run, frame, t, i, j, x, y, h, hu, hv, b from frames"
+
+
+@query("scan_frames", FRAMES_SQL)
+def _(fx):
+    path, times = scratch(fx, "frames"), fx.frames.select("run", "frame", "t").distinct()
+    payloads(fx.frames, ["j", "i"], ["h", "hu", "hv", "b"], path, file_name("fgout0001", "b"))
+    heads = times.select("run", file_name("fgout0001", "q").alias("name"), F.posexplode(F.array(*[F.lit(f"{v} {w}") for v, w in GRID_WORDS])).alias("line_no", "text"))
+    put_named(time_lines(times, "fgout0001", "binary64", 4).unionByName(heads), path)
+    return frames.scan_frames(fx.spark, path)
+
+
+@query("scan_frames_text", FRAMES_SQL)
+def _(fx):
+    path, times = scratch(fx, "frames"), fx.frames.select("run", "frame", "t").distinct()
+    heads = times.select("run", file_name("fgout0001", "q").alias("name"), F.posexplode(F.array(*[F.lit(f"{v} {w}") for v, w in GRID_WORDS])).alias("line_no", "text"))
+    body = fx.frames.select("run", file_name("fgout0001", "q").alias("name"), (100 + F.col("j") * 64 + F.col("i")).alias("line_no"), num("h", "hu", "hv", "b").alias("text"))
+    put_named(time_lines(times, "fgout0001", "ascii", 4).unionByName(heads).unionByName(body), path)
+    return frames.scan_frames(fx.spark, path)
+
+
+def binary_patches(fx):
+    """Patch frames in binary form with two rings of ghost cells, read back."""
+    path, times = scratch(fx, "patches"), fx.patches.select("run", "frame", "t").distinct()
+    payloads(fx.patch_cells, ["patch", "j", "i"], ["h", "hu", "hv"], path, file_name("fort", "b"), "float32", 2, 64)
+    heads = patch_lines(fx).where("line_no % 10000 < 100").select("run", file_name("fort", "q").alias("name"), "line_no", "text")
+    put_named(time_lines(times, "fort", "binary32", 3, 2).unionByName(heads), path)
+    return frames.scan_patches(fx.spark, path)
+
+
+# Both patches of a frame are stored, so frames of one patch only are none.
+@query("scan_patch_cells_binary", "select run, frame, t, patch, level, i, j, h, hu, cast(cast(hv as float) as double) as hv from patch_cells")
+def _(fx):
+    return binary_patches(fx)[1].select("run", "frame", "t", "patch", "level", "i", "j", *[F.col("q")[k].alias(c) for k, c in enumerate(("h", "hu", "hv"))])
+
+
+@query("scan_patches_binary", "select run, frame, t, patch, level, xlow, ylow, dx, dy, mx, my from patches")
+def _(fx):
+    return binary_patches(fx)[0]
+
+
+@query("scan_gauges_binary", "select concat('g', gauge%4) as run, gauge, gauge*1e0 as x, gauge*0.5e0 as y, 'stationary' as kind, 1 as level, t, q1, q1*2 as q2 from series")
 def _(fx):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf.sort_values(["j", "i"])[["h", "hu", "hv", "b"]].to_numpy("float64")
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "frame": [pdf["frame"].iloc[0]], "content": [q.tobytes()]})
-
-    # A payload is one frame by format; frames are packed in parallel.
-    raw = fx.frames.select("run", "frame", "i", "j", "h", "hu", "hv", "b").groupBy("run", "frame").applyInPandas(pack, "run string, frame int, content binary")
-    heads = fx.frames.select("run", "frame", "t").distinct().select(
-        "*", F.lit(4).alias("meqn"), F.lit("binary64").alias("format"), *[F.lit(v).alias(n) for n, v in (("mx", 64.0), ("my", 50.0), ("xlow", 0.0), ("ylow", 0.0), ("dx", 1.0), ("dy", 1.0))]
+    path, run = scratch(fx, "gauges"), F.concat(F.lit("g"), (F.col("gauge") % 4).cast("string"))
+    name = lambda end: F.concat(F.lit("gauge"), F.lpad(F.col("gauge").cast("string"), 5, "0"), F.lit(end))
+    rows = fx.series.select(run.alias("run"), "gauge", F.lit(1.0).alias("level"), "t", "q1", (F.col("q1") * 2).alias("q2"))
+    payloads(rows, ["t"], ["level", "t", "q1", "q2"], path, name(".bin"))
+    head = F.array(
+        F.concat(F.lit("# gauge_id= "), F.col("gauge").cast("string"), F.lit(" location=( "), num(F.col("gauge") * 1.0, F.col("gauge") * 0.5), F.lit(" ) num_eqn= 2")),
+        F.lit("# Stationary gauge"), F.lit("# level, time, q[ 1 2], eta"), F.lit("# file format: binary64, time series in .bin file"),
     )
-    return frames.decode_frames(raw, heads)
+    put_named(fx.series.select("gauge").distinct().select(run.alias("run"), name(".txt").alias("name"), F.posexplode(head).alias("line_no", "text")), path)
+    return text.scan_gauges(fx.spark, path).select("run", "gauge", "x", "y", "kind", "level", "t", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
 
 
 def patch_lines(fx):

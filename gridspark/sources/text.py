@@ -165,28 +165,40 @@ def scan_maxima(spark: SparkSession, path: str, glob: str = "fgmax*.txt") -> Dat
 
 
 def scan_gauges(spark: SparkSession, path: str, glob: str = "gauge*.txt") -> DataFrame:
-    """Gauge series of all gauge files below `path`, see `parse_gauges`."""
-    return parse_gauges(lines(spark, path, glob))
+    """Gauge series of all gauge files below `path`, see `parse_gauges`; a header that names a binary form has its samples
+    in a file of the same name ending in `.bin`, which `ranges` reads piece by piece."""
+    from gridspark.sources import gauges
 
+    ln = lines(spark, path, glob)
+    return parse_gauges(ln).unionByName(gauges.binary_series(spark, path, glob, gauge_headers(ln)))
 
-def parse_gauges(ln: DataFrame) -> DataFrame:
-    """(run, file, text) lines to (run, gauge, x, y, kind, level, t, q); a header's id must match its file's name."""
+
+def gauge_headers(ln: DataFrame) -> DataFrame:
+    """(run, file, gauge, x, y, kind, num_eqn, format) of each gauge file; a header's id must match its file's name."""
     named = F.regexp_extract("file", r"gauge0*(\d+)[^/]*$", 1).cast("long")
     head = ln.where(F.startswith("text", F.lit("#"))).withColumn("_t", tokens())
     first = F.contains("text", F.lit("gauge_id"))
     place = F.regexp_extract_all("text", F.lit(r"\(([^)]*)\)"), F.lit(1))
+    form = F.regexp_extract(F.lower("text"), r"file format\W*(binary32|binary64|binary)", 1)
     h = head.groupBy("run", "file").agg(
         F.max(F.when(first, F.col("_t")[2].cast("long"))).alias("gauge"),
         F.max(F.when(first, tokens(F.try_element_at(place, F.lit(1))))).alias("_xy"),
         F.max(F.contains(F.lower("text"), F.lit("lagrangian"))).alias("_lag"),
+        F.max(F.when(first, F.regexp_extract("text", r"num_eqn\s*=\s*(\d+)", 1).try_cast("int"))).alias("num_eqn"), F.max(form).alias("format"),
     )
     wrong = F.raise_error(F.concat(F.lit("gauge id differs from its file name: "), "file")).cast("long")
-    h = h.withColumn("gauge", F.when(F.col("gauge") == named, F.col("gauge")).otherwise(wrong))
+    return h.select(
+        "run", "file", F.when(F.col("gauge") == named, F.col("gauge")).otherwise(wrong).alias("gauge"), number(F.col("_xy")[0]).alias("x"),
+        number(F.try_element_at("_xy", F.lit(2))).alias("y"), F.when(F.col("_lag"), "lagrangian").otherwise("stationary").alias("kind"), "num_eqn",
+        F.when(F.col("format") != "", F.col("format")).otherwise("ascii").alias("format"),
+    )
+
+
+def parse_gauges(ln: DataFrame) -> DataFrame:
+    """(run, file, text) lines to (run, gauge, x, y, kind, level, t, q)."""
     rows = ln.where(~F.startswith("text", F.lit("#")) & (F.trim("text") != "")).select("run", "file", F.transform(tokens(), number).alias("_t"))
-    return rows.join(h, ["run", "file"]).select(
-        "run", "gauge", number(F.col("_xy")[0]).alias("x"), number(F.try_element_at("_xy", F.lit(2))).alias("y"),
-        F.when(F.col("_lag"), "lagrangian").otherwise("stationary").alias("kind"),
-        F.col("_t")[0].cast("int").alias("level"), F.col("_t")[1].alias("t"), F.slice("_t", F.lit(3), F.size("_t") - 2).alias("q"),
+    return rows.join(gauge_headers(ln), ["run", "file"]).select(
+        "run", "gauge", "x", "y", "kind", F.col("_t")[0].cast("int").alias("level"), F.col("_t")[1].alias("t"), F.slice("_t", F.lit(3), F.size("_t") - 2).alias("q"),
     )
 
 

@@ -108,3 +108,40 @@ def test_native_tracks(spark, tmp_path):
     (tmp_path / "ike" / "s.storm").write_text("1\n2008-09-13T07:00:00\n\n" + row)
     r = decks.scan_tracks(spark, str(tmp_path), "native", "*.storm").collect()
     assert [(x["storm"], x["lon"], x["rmw"], x["ts"].second) for x in r] == [("ike", -60.0, None, 10)]
+
+
+def test_payloads_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Small ranges, a folder with a blank, float32 patches with ghost cells beside a text frame, a payload cut short."""
+    monkeypatch.setattr(frames, "CHUNK", 7)
+    out = tmp_path / "a run"
+    out.mkdir()
+    rng = np.random.default_rng(1)
+    shapes = [(5, 3), (2, 9)]
+    q = [np.float32(rng.normal(size=(my + 4, mx + 4, 3))) for mx, my in shapes]
+    head = "".join(
+        f"{k + 1} grid_number\n{k + 1} AMR_level\n{mx} mx\n{my} my\n0.0 xlow\n0.0 ylow\n1.0 dx\n1.0 dy\n\n" for k, (mx, my) in enumerate(shapes)
+    )
+    (out / "fort.t0000").write_text("0.5 time\n3 meqn\n2 ngrids\n0 naux\n2 ndim\n2 num_ghost\nbinary32 file_format\n")
+    (out / "fort.q0000").write_text(head)
+    (out / "fort.b0000").write_bytes(b"".join(v.tobytes() for v in q))
+    (out / "fort.t0001").write_text("1.5 time\n3 meqn\n1 ngrids\n0 naux\n2 ndim\n2 num_ghost\nascii file_format\n")
+    (out / "fort.q0001").write_text("1 grid_number\n1 AMR_level\n2 mx\n1 my\n0.0 xlow\n0.0 ylow\n1.0 dx\n1.0 dy\n\n1.0 2.0 3.0\n4.0 5.0 6.0\n\n")
+    patches, cells = frames.scan_patches(spark, str(tmp_path))
+    got = {(r.frame, r.patch, r.i, r.j): tuple(r.q) for r in cells.collect()}
+    want = {(0, k + 1, i, j): tuple(map(float, q[k][j + 2, i + 2])) for k, (mx, my) in enumerate(shapes) for i in range(mx) for j in range(my)}
+    assert got == want | {(1, 1, 0, 0): (1.0, 2.0, 3.0), (1, 1, 1, 0): (4.0, 5.0, 6.0)}
+    assert patches.count() == 3
+    (out / "fort.b0000").write_bytes(b"".join(v.tobytes() for v in q)[:-4])
+    with pytest.raises(Exception, match="size differs"):
+        frames.scan_patches(spark, str(tmp_path))[1].collect()
+
+
+def test_binary_gauges_beside_text_ones(spark, tmp_path):
+    out = tmp_path / "r"
+    out.mkdir()
+    for n, form in ((7, "binary32"), (8, "binary64")):
+        (out / f"gauge0000{n}.txt").write_text(f"# gauge_id= {n} location=( 1.0 2.0 ) num_eqn= 2\n# Lagrangian particle\n# level, time, q\n# file format: {form}, time series in .bin file\n")
+        (out / f"gauge0000{n}.bin").write_bytes(np.array([[1, 0.5, 3, 4], [2, 1.5, 5, 6]], "f4" if form == "binary32" else "f8").tobytes())
+    (out / "gauge00009.txt").write_text("# gauge_id= 9 location=( 1.0 2.0 ) num_eqn= 2\n# Stationary gauge\n# level, time, q\n# file format: ascii\n1 0.5 3.0 4.0\n")
+    rows = {(r.gauge, r.kind, r.level, r.t, tuple(r.q)) for r in text.scan_gauges(spark, str(tmp_path)).collect()}
+    assert rows == {(n, "lagrangian", *v) for n in (7, 8) for v in ((1, 0.5, (3.0, 4.0)), (2, 1.5, (5.0, 6.0)))} | {(9, "stationary", 1, 0.5, (3.0, 4.0))}
