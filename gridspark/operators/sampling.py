@@ -258,31 +258,42 @@ def compare_to_reference(profile: DataFrame, reference: DataFrame, by: list[str]
     return out.withColumnRenamed("_ref", "reference").withColumn("difference", F.col(value) - F.col("reference"))
 
 
-def _level_sides(patches: DataFrame) -> DataFrame:
-    """Largest patch extent of each (run, level): the bin size of that level."""
-    return patches.groupBy("run", "level").agg(
-        F.max(F.col("mx") * F.col("dx")).alias("_sx"), F.max(F.col("my") * F.col("dy")).alias("_sy")
-    )
+def _size(dx: str = "dx", dy: str = "dy", pad: float = 0.0) -> Column:
+    """Exponent of the smallest square with a power of two as side that is as wide and high as a patch."""
+    side = F.greatest((F.col("mx") + 2 * pad) * F.col(dx), (F.col("my") + 2 * pad) * F.col(dy))
+    return F.ceil(F.log2(side)).cast("int")
+
+
+def _square(v: Column, size: Column) -> Column:
+    return F.floor(v / F.pow(F.lit(2.0), size)).cast("bigint")
+
+
+def _squares(patches: DataFrame, size: Column, pad: float = 0.0) -> DataFrame:
+    """A row per square (_e, _bx, _by) of exponent `size` that a patch touches: four at most from its own size on."""
+    px, py = pad * F.col("dx"), pad * F.col("dy")
+    x0, x1 = F.col("xlow") - px, F.col("xlow") + F.col("mx") * F.col("dx") + px
+    y0, y1 = F.col("ylow") - py, F.col("ylow") + F.col("my") * F.col("dy") + py
+    out = patches.withColumn("_e", size)
+    out = out.withColumn("_bx", F.explode(F.sequence(_square(x0, F.col("_e")), _square(x1, F.col("_e")))))
+    return out.withColumn("_by", F.explode(F.sequence(_square(y0, F.col("_e")), _square(y1, F.col("_e")))))
 
 
 def patches_at(points: DataFrame, patches: DataFrame, pad: float = 0.0) -> DataFrame:
     """Every patch covering each point (both keyed by run), bounds inclusive and widened by `pad` cells.
 
-    Each level has its own bins, as large as its largest patch, so a patch lies in
-    few bins and a point looks into one bin per level.
+    A patch is stored in squares of its own size, a point looks up the one square around it of each size that its run has. So
+    a wide patch beside many small ones changes neither how many squares those take nor how many share one.
     """
-    sides = _level_sides(patches)
-    p = patches.select("run", "frame", "t", "patch", "level", "xlow", "ylow", "dx", "dy", "mx", "my").join(sides, ["run", "level"])
-    x1, y1 = F.col("xlow") + F.col("mx") * F.col("dx"), F.col("ylow") + F.col("my") * F.col("dy")
+    p = patches.select("run", "frame", "t", "patch", "level", "xlow", "ylow", "dx", "dy", "mx", "my")
+    sizes = p.select("run", _size(pad=pad).alias("_e")).distinct()
+    q = points.join(sizes, "run").withColumns({"_bx": _square(F.col("x"), F.col("_e")), "_by": _square(F.col("y"), F.col("_e"))})
+    hit = q.join(_squares(p, _size(pad=pad), pad), ["run", "_e", "_bx", "_by"])
     px, py = pad * F.col("dx"), pad * F.col("dy")
-    p = p.withColumn("_bx", F.explode(F.sequence(to_int((F.col("xlow") - px) / F.col("_sx")), to_int((x1 + px) / F.col("_sx")))))
-    p = p.withColumn("_by", F.explode(F.sequence(to_int((F.col("ylow") - py) / F.col("_sy")), to_int((y1 + py) / F.col("_sy")))))
-    q = points.join(sides, "run").withColumns({"_bx": to_int(F.col("x") / F.col("_sx")), "_by": to_int(F.col("y") / F.col("_sy"))})
-    hit = q.drop("_sx", "_sy").join(p.drop("_sx", "_sy"), ["run", "level", "_bx", "_by"])
     inside = (
-        (F.col("x") >= F.col("xlow") - px) & (F.col("x") <= x1 + px) & (F.col("y") >= F.col("ylow") - py) & (F.col("y") <= y1 + py)
+        (F.col("x") >= F.col("xlow") - px) & (F.col("x") <= F.col("xlow") + F.col("mx") * F.col("dx") + px)
+        & (F.col("y") >= F.col("ylow") - py) & (F.col("y") <= F.col("ylow") + F.col("my") * F.col("dy") + py)
     )
-    return hit.where(inside).drop("_bx", "_by")
+    return hit.where(inside).drop("_e", "_bx", "_by")
 
 
 def sample_finest(
@@ -291,8 +302,10 @@ def sample_finest(
     """`values` at points (run, x, y) in every frame, from the finest covering patch with a value.
 
     Linear sampling holds edge values over the outer half cell; a patch reaches
-    0.001 cell beyond its edge. Points no patch covers in any frame are absent.
+    0.001 cell beyond its edge. Each point has a row for every frame of its run, with NULL where no patch covers it;
+    points of a run without frames have none.
     """
+    points = _once(points)
     keys = [*points.columns]
     hit = patches_at(points, patches, pad=0.001)
     x = (F.col("x") - F.col("xlow")) / F.col("dx") - 0.5
@@ -318,37 +331,47 @@ def sample_finest(
     per_patch = met.groupBy(*keys, "frame", "t", "patch", "level").agg(
         *[F.when(F.count(v) == need, F.sum(F.col("_w") * F.col(v))).alias(v) for v in values]
     )
+    # A row without values for every point and frame, so that none is lost.
+    given = points.join(patches.select("run", "frame", "t").distinct(), "run")
+    per_patch = per_patch.unionByName(given, allowMissingColumns=True)
     rank = F.struct("level", "patch")
-    return per_patch.groupBy(*keys, "frame", "t").agg(
+    return _again(per_patch.groupBy(*keys, "frame", "t").agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), rank)).alias(v) for v in values]
-    )
+    ))
+
+
+def sample_faces(faces: DataFrame, patch_cells: DataFrame, patches: DataFrame, values: tuple[str, ...] = ("h", "hu", "hv"), method: str = "linear") -> DataFrame:
+    """Faces (run, face_x, face_y, ...) with the sampled `values` in every frame, NULL where no patch covers one: one
+    sampling job for all frames. `source_rates` counts unsampled faces as zero, `source_face_counts` counts them."""
+    at = faces.withColumnsRenamed({"face_x": "x", "face_y": "y"})
+    return sample_finest(patch_cells, patches, at, list(values), method).withColumnsRenamed({"x": "face_x", "y": "face_y"})
 
 
 def assign_patch(points: DataFrame, patches: DataFrame) -> DataFrame:
     """Finest patch covering each point (run, x, y) per frame; NULL patch where only others' points are covered."""
+    points = _once(points)
     keys = points.columns
-    found = patches_at(points, patches).groupBy(*keys, "frame").agg(F.max(F.struct("level", "patch")).alias("_p"))
-    frames = patches.select("run", "frame").distinct()
-    return (
-        points.join(frames, "run").join(found, [*keys, "frame"], "left")
-        .select(*keys, "frame", F.col("_p.patch").alias("patch"), F.col("_p.level").alias("level"))
-    )
+    best = F.struct("level", "patch").alias("_p")
+    given = points.join(patches.select("run", "frame").distinct(), "run").select(*keys, "frame", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("patch"))
+    found = patches_at(points, patches).select(*keys, "frame", "level", "patch").unionByName(given)
+    out = found.groupBy(*keys, "frame").agg(F.max(F.when(F.col("patch").isNotNull(), best)).alias("_p"))
+    return _again(out.select(*keys, "frame", F.col("_p.patch").alias("patch"), F.col("_p.level").alias("level")))
 
 
 def covered_rows(patches: DataFrame, tol: float = 1e-12) -> DataFrame:
     """Per coarse patch row, the index intervals whose centres lie in any finer patch."""
-    sides = _level_sides(patches)
-    fine = patches.join(sides, ["run", "level"]).select(
-        "run", "frame", F.col("level").alias("_fl"), to_int(F.col("xlow") / F.col("_sx")).alias("_bx"),
-        to_int(F.col("ylow") / F.col("_sy")).alias("_by"), F.col("xlow").alias("_fx0"), F.col("ylow").alias("_fy0"),
+    # Two patches meet in the squares of the larger one's size; the smaller one touches four of those at most.
+    sizes = patches.select("run", _size().alias("_s")).distinct()
+
+    def met(rows: DataFrame) -> DataFrame:
+        own = rows.withColumn("_own", _size()).join(sizes, "run").where("_s >= _own")
+        return _squares(own, F.col("_s")).drop("_s")
+
+    fine = met(patches).select(
+        "run", "frame", F.col("level").alias("_fl"), F.col("_own").alias("_fe"), "_e", "_bx", "_by", F.col("xlow").alias("_fx0"), F.col("ylow").alias("_fy0"),
         (F.col("xlow") + F.col("mx") * F.col("dx")).alias("_fx1"), (F.col("ylow") + F.col("my") * F.col("dy")).alias("_fy1"),
     )
-    # A finer patch sits in the bin of its lower corner; the coarse one looks one bin further down.
-    coarse = patches.join(sides.withColumnRenamed("level", "_fl"), "run").where(F.col("_fl") > F.col("level"))
-    x1, y1 = F.col("xlow") + F.col("mx") * F.col("dx"), F.col("ylow") + F.col("my") * F.col("dy")
-    coarse = coarse.withColumn("_bx", F.explode(F.sequence(to_int(F.col("xlow") / F.col("_sx")) - 1, to_int(x1 / F.col("_sx")))))
-    coarse = coarse.withColumn("_by", F.explode(F.sequence(to_int(F.col("ylow") / F.col("_sy")) - 1, to_int(y1 / F.col("_sy")))))
-    hit = coarse.join(fine, ["run", "frame", "_fl", "_bx", "_by"])
+    hit = met(patches).join(fine, ["run", "frame", "_e", "_bx", "_by"]).where("_fl > level and _e = greatest(_fe, _own)")
 
     def index(lo: str, at: str, d: str, n: str, low: bool) -> Column:
         v = (F.col(lo) - F.col(at)) / F.col(d) - 0.5

@@ -215,6 +215,41 @@ def _(fx):
     return A.source_face_counts(f)
 
 
+# Shoreline faces around every second cell of a band that runs over the edge of the grid: some lie outside all patches.
+FACES_SQL = """g as (select k, n, k%70*1e0 as target_x, 5e0+floor(k/70)*6 as target_y, case n when 0 then -0.5e0 when 1 then 0.5e0 else 0e0 end as ox, case n when 2 then -0.5e0 when 3 then 0.5e0 else 0e0 end as oy from range(420) r(k), range(4) q(n)),
+fc as (select u.run, target_x, target_y, target_x+ox as face_x, target_y+oy as face_y, -2*ox as nx, -2*oy as ny from g cross join (select distinct run from patches) u),
+fp as (select fc.*, p.frame, p.t, p.patch, p.level, least(greatest(floor((face_x-xlow)/dx),0),63) as a, least(greatest(floor((face_y-ylow)/dy),0),49) as b from fc join patches p on p.run=fc.run
+ and face_x>=xlow-0.001*dx and face_x<=xlow+mx*dx+0.001*dx and face_y>=ylow-0.001*dy and face_y<=ylow+my*dy+0.001*dy),
+fb as (select run, face_x, face_y, target_x, target_y, frame, a, b, patch, row_number() over (partition by run, frame, target_x, target_y, nx, ny order by level desc) as rn, nx, ny from fp),
+fs as (select fc.*, f.frame, f.t, 2e0 as length, c.h, c.hu, c.hv from fc join (select distinct run, frame, t from patches) f on f.run=fc.run
+ left join fb on fb.run=fc.run and fb.frame=f.frame and fb.target_x=fc.target_x and fb.target_y=fc.target_y and fb.nx=fc.nx and fb.ny=fc.ny and fb.rn=1
+ left join patch_cells c on c.run=fb.run and c.frame=fb.frame and c.patch=fb.patch and c.i=fb.a and c.j=fb.b)"""
+
+
+def sampled_faces(fx):
+    """The faces sampled in the nested patches of every frame."""
+    runs, k, n = fx.patches.select("run").distinct(), F.col("k"), F.col("n")
+    off = lambda low, high: F.when(n == low, -0.5).when(n == high, 0.5).otherwise(0.0)
+    faces = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(419)))).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    faces = faces.select("run", (k % 70 * F.lit(1.0)).alias("target_x"), (5.0 + F.floor(k / 70) * 6).alias("target_y"), off(0, 1).alias("ox"), off(2, 3).alias("oy"))
+    faces = faces.select(
+        "run", "target_x", "target_y", (F.col("target_x") + F.col("ox")).alias("face_x"), (F.col("target_y") + F.col("oy")).alias("face_y"),
+        (-2 * F.col("ox")).alias("nx"), (-2 * F.col("oy")).alias("ny"), F.lit(2.0).alias("length"),
+    )
+    return S.sample_faces(faces, fx.patch_cells, fx.patches, method="nearest")
+
+
+@query("sampled_source_rates", "with " + FACES_SQL + """ select run, t, target_x, target_y, round(sum(0.5*(hu*nx+hv*ny)*2),6) as q, round(sum(0.5*(hu*nx+hv*ny)*2*(hu/h)),6) as qu, round(sum(0.5*(hu*nx+hv*ny)*2*(hv/h)),6) as qv
+from fs where hu*nx+hv*ny>1e-12 and h>1e-12 group by all""")
+def _(fx):
+    return A.source_rates(sampled_faces(fx), 0.5).withColumns({c: F.round(c, 6) for c in ("q", "qu", "qv")})
+
+
+@query("sampled_face_counts", "with " + FACES_SQL + " select run, t, count(*) filter (h>1e-12 and hu*nx+hv*ny>1e-12) as active, count(*) filter (h is null) as replaced from fs group by run, t")
+def _(fx):
+    return A.source_face_counts(sampled_faces(fx))
+
+
 @query("source_ledger", "with " + RATES_SQL + """, s as (select run, t, sum(q) as q, sum(qu) as qu, sum(qv) as qv from r group by run, t),
 w as (select run, (lead(t) over (partition by run order by t)-t)/2 as dt, q+lead(q) over (partition by run order by t) as q, qu+lead(qu) over (partition by run order by t) as qu, qv+lead(qv) over (partition by run order by t) as qv from s)
 select run, round(sum(q*dt),6) as volume, round(sum(qu*dt),6) as depth_momentum_x, round(sum(qv*dt),6) as depth_momentum_y, round(1000*sum(qu*dt),3) as momentum_x, round(1000*sum(qv*dt),3) as momentum_y from w group by run""")

@@ -130,7 +130,8 @@ k as (select *, least(floor(cx),62) as a2, least(floor(cy),48) as b2 from cand),
 s as (select k.run, k.pid, k.x, k.y, k.frame, k.ft as t, k.patch, k.level, sum(h*(case when c.i=a2 then 1-(cx-a2) else cx-a2 end)*(case when c.j=b2 then 1-(cy-b2) else cy-b2 end)) as h,
  sum(hu*(case when c.i=a2 then 1-(cx-a2) else cx-a2 end)*(case when c.j=b2 then 1-(cy-b2) else cy-b2 end)) as hu
  from k join patch_cells c on c.run=k.run and c.frame=k.frame and c.patch=k.patch and c.i in (a2,a2+1) and c.j in (b2,b2+1) group by all)
-select run, pid, x, y, frame, t, h, hu from (select *, row_number() over (partition by run, pid, frame order by level desc) rn from s) where rn=1"""
+select pts.run, pts.pid, pts.x, pts.y, f.frame, f.t, z.h, z.hu from pts join (select distinct run, frame, t from patches) f on f.run=pts.run
+ left join (select *, row_number() over (partition by run, pid, frame order by level desc) rn from s) z on z.run=pts.run and z.pid=pts.pid and z.frame=f.frame and z.rn=1"""
 
 
 @query("sample_finest", FINEST_SQL)
@@ -141,8 +142,9 @@ def _(fx):
 @query("sample_finest_nearest", "with " + PTS_SQL + """,
 cand as (select pts.run, pts.pid, pts.x, pts.y, p.frame, p.t as ft, p.level, p.patch, least(greatest(floor((x-xlow)/dx),0),63) as a, least(greatest(floor((y-ylow)/dy),0),49) as b from pts join patches p on p.run=pts.run
  and x>=xlow-0.001*dx and x<=xlow+mx*dx+0.001*dx and y>=ylow-0.001*dy and y<=ylow+my*dy+0.001*dy)
-select k.run, pid, x, y, k.frame, ft as t, c.hv from (select *, row_number() over (partition by run, pid, frame order by level desc) rn from cand) k
-join patch_cells c on c.run=k.run and c.frame=k.frame and c.patch=k.patch and c.i=a and c.j=b where rn=1""")
+select pts.run, pts.pid, pts.x, pts.y, f.frame, f.t, c.hv from pts join (select distinct run, frame, t from patches) f on f.run=pts.run
+left join (select *, row_number() over (partition by run, pid, frame order by level desc) rn from cand) k on k.run=pts.run and k.pid=pts.pid and k.frame=f.frame and k.rn=1
+left join patch_cells c on c.run=k.run and c.frame=k.frame and c.patch=k.patch and c.i=k.a and c.j=k.b""")
 def _(fx):
     return S.sample_finest(fx.patch_cells, fx.patches, points(fx, "run"), ["hv"], method="nearest")
 
