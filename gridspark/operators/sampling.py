@@ -227,8 +227,7 @@ def interp_series(
     s = s.withColumn("_q", F.lit(None).cast(q.schema["_q"].dataType))
     q = q.withColumn("_p", F.lit(None).cast(s.schema["_p"].dataType))
     both = s.unionByName(q)
-    both = running(both, by, [order, "_side"], {"_before": ("last", "_p")})
-    both = running(both, by, [order, "_side"], {"_after": ("last", "_p")}, backward=True)
+    both = running(both, by, [order, "_side"], {"_before": ("last", "_p")}, ahead={"_after": ("last", "_p")})
     t, a, b = F.col(order), F.col("_before"), F.col("_after")
     # Backward order puts a query before a sample of its own time, so `_after` lies strictly later.
     part = F.try_divide(t - a["t"], b["t"] - a["t"])
