@@ -274,57 +274,76 @@ def smooth(cells: DataFrame, where: Column, r: int = 1, column: str = "z", tile:
     return home(t).withColumn(column, F.when(where, F.try_divide("_s", "_c")).otherwise(F.col(column))).drop("_s", "_c")
 
 
-def fill_missing(cells: DataFrame, column: str = "z", rounds: int = 64) -> DataFrame:
-    """Missing cells take the mean of the valid original cells in the smallest square ring radius holding any.
-
-    Running counts and decimal sums over rows, then columns, give any square from
-    four lookups. Each missing cell doubles its radius until the square holds a
-    value, then halves in on the smallest one, so large gaps take few rounds.
+def fill_missing(cells: DataFrame, column: str = "z") -> DataFrame:
+    """Missing cells take the mean of the valid original cells in the smallest square around them that holds any.
+
+    Running counts over rows, then columns, tell from four lookups whether a square holds a value. Each missing cell doubles
+    its radius until it does, then halves in on the smallest one, so large gaps take few rounds. All values of the
+    smallest square lie on its rim, whose sides are put together from sums of 1, 2, 4, ... neighbouring cells: sums are only ever
+    added, in double precision, so that neither tiny nor huge values are lost. Cells that a grid lacks are
+    no values and are not added; fields without any value stay as they are.
     """
     from gridspark.session import checkpoint_dir
 
     checkpoint_dir(cells.sparkSession)
     by = grain(cells)
-    # DECIMAL keeps running sums exact, so differences of them are too.
-    v = F.col(column).cast("decimal(38,15)")
+    size = cells.groupBy(*by).agg(F.min("i").alias("_i0"), F.max("i").alias("_im"), F.min("j").alias("_j0"), F.max("j").alias("_jm"), F.count(column).alias("_valid"))
+    size = size.where("_valid > 0").drop("_valid").checkpoint()
+    whole = size.withColumn("j", F.explode(F.sequence("_j0", "_jm"))).repartition(*by, "j").withColumn("i", F.explode(F.sequence("_i0", "_im")))
     row = Window.partitionBy(*by, "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     col = Window.partitionBy(*by, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    table = cells.select(
-        *by, "i", "j", F.sum(F.coalesce(v, F.lit(0).cast("decimal(38,15)"))).over(row).cast("decimal(38,15)").alias("_s"), F.count(column).over(row).alias("_n")
-    )
-    table = table.select(*by, "i", "j", F.sum("_s").over(col).cast("decimal(38,15)").alias("_s"), F.sum("_n").over(col).alias("_n"))
-    size = cells.groupBy(*by).agg(F.max("i").alias("_im"), F.max("j").alias("_jm"), F.count(column).alias("_valid"))
-    table = table.checkpoint()
-    open_ = cells.where(F.col(column).isNull()).select(*by, "i", "j").join(size, by).where("_valid > 0").drop("_valid")
-    open_ = open_.withColumns({"_lo": F.lit(0), "_hi": F.lit(None).cast("int"), "_again": F.lit(False)})
-    done = None
-    for _ in range(rounds):
-        r = F.when(F.col("_again"), F.col("_hi")).when(F.col("_hi").isNull(), F.greatest(F.lit(1), 2 * F.col("_lo"))).otherwise(F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int"))
+    valid = cells.where(F.col(column).isNotNull()).select(*by, "i", "j", F.col(column).cast("double").alias("_z"))
+    table = whole.select(*by, "i", "j").join(valid, [*by, "i", "j"], "left").select(*by, "i", "j", F.count("_z").over(row).alias("_n"))
+    table = table.select(*by, "i", "j", F.sum("_n").over(col).alias("_n")).checkpoint()
+    open_ = cells.where(F.col(column).isNull()).select(*by, "i", "j").distinct().join(size, by)
+    open_ = open_.withColumns({"_lo": F.lit(0), "_hi": F.lit(None).cast("int")})
+    found = None
+    while True:
+        r = F.when(F.col("_hi").isNull(), F.greatest(F.lit(1), 2 * F.col("_lo"))).otherwise(F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int"))
         t = open_.withColumn("_r", r.cast("int"))
-        i0, i1 = F.greatest(F.lit(0), F.col("i") - F.col("_r")) - 1, F.least(F.col("_im"), F.col("i") + F.col("_r"))
-        j0, j1 = F.greatest(F.lit(0), F.col("j") - F.col("_r")) - 1, F.least(F.col("_jm"), F.col("j") + F.col("_r"))
+        i0, i1 = F.greatest(F.col("_i0"), F.col("i") - F.col("_r")) - 1, F.least(F.col("_im"), F.col("i") + F.col("_r"))
+        j0, j1 = F.greatest(F.col("_j0"), F.col("j") - F.col("_r")) - 1, F.least(F.col("_jm"), F.col("j") + F.col("_r"))
         corner = lambda a, b, g: F.struct(a.alias("_a"), b.alias("_b"), F.lit(g).alias("_g"))
         t = t.withColumn("_k", F.explode(F.array(corner(i1, j1, 1), corner(i0, j1, -1), corner(i1, j0, -1), corner(i0, j0, 1))))
-        t = t.select("*", "_k.*").drop("_k").where("_a >= 0 and _b >= 0")
-        look = table.select(*by, F.col("i").alias("_a"), F.col("j").alias("_b"), "_s", "_n")
-        t = t.join(look, [*by, "_a", "_b"]).groupBy(*by, "i", "j", "_im", "_jm", "_lo", "_hi", "_r").agg(
-            F.sum(F.when(F.col("_g") > 0, F.col("_s")).otherwise(-F.col("_s"))).alias("_sum"), F.sum(F.col("_n") * F.col("_g")).alias("_cnt")
-        )
-        some = F.col("_cnt") > 0
-        t = t.withColumns({"_fill": F.when(some, F.try_divide(F.col("_sum").cast("double"), F.col("_cnt").cast("double"))),
-                           "_hi": F.when(some, F.col("_r")).otherwise(F.col("_hi")), "_lo": F.when(some, F.col("_lo")).otherwise(F.col("_r"))})
-        # A radius is final once it holds a value and the next smaller one is known to be empty.
-        t = t.withColumn("_end", some & (F.col("_r") == F.col("_lo") + 1)).checkpoint()
-        hit = t.where("_end").select(*by, "i", "j", "_fill")
-        done = hit if done is None else done.unionByName(hit)
-        # An empty middle just below the known bound: ask for that bound's mean again.
-        again = F.col("_hi") == F.col("_lo") + 1
-        open_ = t.where("not _end").select(*by, "i", "j", "_im", "_jm", "_lo", "_hi", again.alias("_again"))
+        t = t.select("*", "_k.*").drop("_k").where("_a >= _i0 and _b >= _j0")
+        look = table.select(*by, F.col("i").alias("_a"), F.col("j").alias("_b"), "_n")
+        keys = [*by, "i", "j", "_i0", "_im", "_j0", "_jm", "_lo", "_hi", "_r"]
+        t = t.join(look, [*by, "_a", "_b"]).groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_g")) > 0).alias("_some"))
+        # The radius lies above _lo and is at most _hi.
+        t = t.withColumns({"_hi": F.when(F.col("_some"), F.col("_r")).otherwise(F.col("_hi")), "_lo": F.when(F.col("_some"), F.col("_lo")).otherwise(F.col("_r"))})
+        t = t.withColumn("_end", F.coalesce(F.col("_hi") == F.col("_lo") + 1, F.lit(False))).drop("_r", "_some").checkpoint()
+        hit = t.where("_end").select(*by, "i", "j", F.col("_hi").alias("_r"))
+        found = hit if found is None else found.unionByName(hit)
+        open_ = t.where("not _end").drop("_end")
         if open_.isEmpty():
             break
-    else:
-        raise ValueError("missing cells are left")
-    return cells.join(done, [*by, "i", "j"], "left").withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
+    filled = rim_means(valid, found, by)
+    return cells.join(filled, [*by, "i", "j"], "left").withColumn(column, F.coalesce(F.col(column), F.col("_fill").cast(dict(cells.dtypes)[column]))).drop("_fill")
+
+
+def rim_means(valid: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, j, _fill): mean of the `_z` on the rim of radius `_r` around each cell of `found`.
+
+    Runs of 2^m cells that start at a multiple of their length have their sums kept, along rows and along columns; any
+    stretch of a row or column is at most two of them for each m."""
+    most = found.agg(F.max("_r")).first()[0]
+    levels = F.sequence(F.lit(0), F.lit((2 * (most or 0) + 1).bit_length()))
+    side = lambda row, line, at: F.struct(F.lit(row).alias("_row"), line.alias("_line"), at.alias("_at"))
+    runs = valid.select(*by, "_z", F.inline(F.array(side(True, F.col("j"), F.col("i")), side(False, F.col("i"), F.col("j"))))).withColumn("_m", F.explode(levels))
+    runs = runs.withColumn("_run", F.floor(F.col("_at") / F.pow(F.lit(2), F.col("_m"))).cast("long"))
+    runs = runs.groupBy(*by, "_row", "_line", "_m", "_run").agg(F.sum("_z").alias("_s"), F.count("*").alias("_c"))
+    i, j, r = F.col("i"), F.col("j"), F.col("_r")
+    edge = lambda row, line, a, b: F.struct(F.lit(row).alias("_row"), line.alias("_line"), a.alias("_a"), b.alias("_b"))
+    sides = F.array(edge(True, j - r, i - r, i + r), edge(True, j + r, i - r, i + r), edge(False, i - r, j - r + 1, j + r - 1), edge(False, i + r, j - r + 1, j + r - 1))
+    parts = found.select(*by, "i", "j", F.inline(sides)).withColumn("_m", F.explode(levels))
+    length = F.pow(F.lit(2), F.col("_m"))
+    # Whole runs of length 2^m inside the stretch are numbered from _l to below _h; an odd end is not part of a longer one.
+    parts = parts.withColumns({"_l": F.ceil(F.col("_a") / length).cast("long"), "_h": F.floor((F.col("_b") + 1) / length).cast("long")}).where("_l < _h")
+    odd = lambda c: F.pmod(F.col(c), F.lit(2)) == 1
+    ends = F.array(F.when(odd("_l"), F.col("_l")), F.when(odd("_h"), F.col("_h") - 1))
+    parts = parts.withColumn("_run", F.explode(ends)).where("_run is not null")
+    met = parts.join(runs, [*by, "_row", "_line", "_m", "_run"])
+    return met.groupBy(*by, "i", "j").agg((F.sum("_s") / F.sum("_c")).alias("_fill"))
 
 
 def ruled_cover(cells: DataFrame, selected: Column, axis: str = "x", d: float = 1.0, stepped: bool = True) -> DataFrame:
