@@ -63,7 +63,8 @@ def budgets(leaves: DataFrame, weights: DataFrame, total: Column | int | None, s
     tokens `epochs` times."""
     d, l, s = LEVELS
     leaf = weights.join(leaves, list(LEVELS), "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
-    leaf = leaf.withColumn("capacity", F.col("tokens") * epochs)
+    # A leaf without weight gives nothing, so it is no capacity of the nodes above it either.
+    leaf = leaf.withColumn("capacity", F.when(F.col("weight") > 0, F.col("tokens") * epochs).otherwise(F.lit(0).cast("long")))
     sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
     by_lang = sums(leaf, d, l)
     by_domain = sums(by_lang, d).withColumn("_root", F.lit(1))

@@ -212,7 +212,7 @@ def test_budgets_against_rounds(spark):
         spark.createDataFrame(weights, "domain string, lang string, source string, weight long"), 5000, 0.0, 2,
     ).collect()
     w = {x[:3]: x[3] for x in weights}
-    cap = {x[:3]: 2 * x[3] for x in leaves}
+    cap = {x[:3]: 2 * x[3] if w[x[:3]] else 0 for x in leaves}
     part = lambda m, k: sum(v for x, v in m.items() if x[:len(k)] == k)
     top = water_fill(5000, [((d,), part(w, (d,)), part(cap, (d,))) for d in ("d0", "d1", "d2")])
     want = {}
@@ -222,6 +222,16 @@ def test_budgets_against_rounds(spark):
     assert {(r.domain, r.lang, r.source): r.budget for r in got} == want
 
 
+def test_leaves_without_weight_hold_no_budget(spark):
+    leaves = [("d0", "l0", "s", 100), ("d0", "l1", "s", 1000), ("d1", "l0", "s", 10000)]
+    weights = [("d0", "l0", "s", 5), ("d0", "l1", "s", 0), ("d1", "l0", "s", 5)]
+    got = mixing.budgets(
+        spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"),
+        spark.createDataFrame(weights, "domain string, lang string, source string, weight long"), 2000, 0.0, 1,
+    ).orderBy("domain", "lang").collect()
+    assert [r.budget for r in got] == [100, 0, 1900]
+
+
 def test_mixture_takes_prefixes_of_epochs(docs):
     domain = F.lit("all")
     leaves = docs.select(domain.alias("domain"), "lang", "source")
