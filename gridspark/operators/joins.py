@@ -78,19 +78,21 @@ def zeroed_summary(zeroed: DataFrame, column: str = "h") -> DataFrame:
     return zeroed.groupBy(*grain(zeroed)).agg(F.max(column).alias("peak"), count.alias("zeroed"))
 
 
+def grid_difference(a: Column, b: Column) -> Column:
+    """Why two grids (structs with ncols, nrows, cellsize, xmin, ymin) do not match; NULL if they do."""
+    off = lambda c: F.abs(a[c] - b[c]) > 1e-8
+    return (
+        F.when((a["ncols"] != b["ncols"]) | (a["nrows"] != b["nrows"]), "shape differs").when(off("cellsize"), "cell size differs")
+        .when(off("xmin"), "x centres differ").when(off("ymin"), "y centres differ")
+    )
+
+
 def grid_pairs(grids: DataFrame, target: str) -> DataFrame:
     """Each case's target grid against its other models' grids, with the reason a pair does not match."""
-    cols = ("ncols", "nrows", "cellsize", "xmin", "ymin")
-    t = grids.where(F.col("model") == target).select("case", *[F.col(c).alias(f"_t_{c}") for c in cols])
-    other = grids.where(F.col("model") != target)
-    off = lambda c: F.abs(F.col(c) - F.col(f"_t_{c}")) > 1e-8
-    reason = (
-        F.when((F.col("ncols") != F.col("_t_ncols")) | (F.col("nrows") != F.col("_t_nrows")), "shape differs")
-        .when(off("cellsize"), "cell size differs")
-        .when(off("xmin"), "x centres differ")
-        .when(off("ymin"), "y centres differ")
-    )
-    return other.join(t, "case").select("case", "model", reason.alias("reason"))
+    place = F.struct("ncols", "nrows", "cellsize", "xmin", "ymin")
+    t = grids.where(F.col("model") == target).select("case", place.alias("_t"))
+    other = grids.where(F.col("model") != target).select("case", "model", place.alias("_o"))
+    return other.join(t, "case").select("case", "model", grid_difference(F.col("_o"), F.col("_t")).alias("reason"))
 
 
 def pair_outputs(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from gridspark import schema
 from gridspark.functions.keys import clean
 from gridspark.operators.aggs import array_quantile, pair_metrics
+from gridspark.operators.joins import grid_difference
 from gridspark.operators.windows import rank_candidates
 
 TIE = 1e-14
 
 
-def model_pairs(ensemble: DataFrame, threshold: float = schema.SUPPORT_DEPTH, area: float = 1.0, value: str = "v") -> DataFrame:
+def model_pairs(
+    ensemble: DataFrame, threshold: float = schema.SUPPORT_DEPTH, area: float = 1.0, value: str = "v", grids: DataFrame | None = None,
+) -> DataFrame:
     """Metrics (case, a, b) of every unordered pair of models, a < b by name.
 
+    With `grids(case, model, ncols, nrows, cellsize, xmin, ymin)`, a pair of models on different grids is an error, as
+    their cells of equal place are no cells of equal ground.
+
     A cell holds one value per model, so its values fit one array. Pairs unfold
     from it inside the task and go straight into partial sums: what is shuffled is
     the fields once, then one row per task and pair.
@@ -34,9 +40,20 @@ def model_pairs(ensemble: DataFrame, threshold: float = schema.SUPPORT_DEPTH, ar
             ),
         )
     )
-    return pair_metrics(cell.select("case", F.inline(pairs)), ["case", "a", "b"], threshold, area).select(
+    out = pair_metrics(cell.select("case", F.inline(pairs)), ["case", "a", "b"], threshold, area).select(
         "case", "a", "b", "rmse", "mae", "support_iou", "correlation"
     )
+    return out if grids is None else same_grid(out, grids)
+
+
+def same_grid(pairs: DataFrame, grids: DataFrame) -> DataFrame:
+    """The pairs (case, a, b, ...), or an error that names one whose models lie on different grids or have none."""
+    place = F.struct("ncols", "nrows", "cellsize", "xmin", "ymin")
+    of = lambda side: grids.select("case", F.col("model").alias(side), place.alias(f"_{side}"))
+    both = pairs.join(of("a"), ["case", "a"], "left").join(of("b"), ["case", "b"], "left")
+    reason = F.coalesce(grid_difference(F.col("_a"), F.col("_b")), F.when(F.col("_a").isNull() | F.col("_b").isNull(), "no grid"))
+    said = F.concat(F.lit("case "), "case", F.lit(", models "), "a", F.lit(" and "), "b", F.lit(": "), reason)
+    return both.where(F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select(*pairs.columns)
 
 
 def _directed(pairs: DataFrame) -> DataFrame:

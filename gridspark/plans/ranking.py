@@ -28,7 +28,9 @@ def rounded(df, *cols):
 
 @query("model_pairs", "with " + PAIRS_SQL + ' select "case", a, b, round(rmse,9) as rmse, round(mae,9) as mae, round(support_iou,9) as support_iou, round(correlation,9) as correlation from pm')
 def _(fx):
-    return rounded(pairs(fx), "rmse", "mae", "support_iou", "correlation")
+    # All models of a case lie on one grid, which is checked.
+    grids = fx.ensemble.select("case", "model").distinct().select("*", *[F.lit(v).alias(n) for n, v in (("ncols", 64), ("nrows", 50), ("cellsize", 1.0), ("xmin", 0.0), ("ymin", 0.0))])
+    return rounded(M.model_pairs(fx.ensemble, grids=grids), "rmse", "mae", "support_iou", "correlation")
 
 
 @query("peer_difficulty", "with " + PAIRS_SQL + ", " + DIFF_SQL + ' select "case", peer, round(d_rmse,9) as difficulty_rmse, round(d_mae,9) as difficulty_mae, round(d_support,9) as difficulty_support, round(d_pattern,9) as difficulty_pattern, true as valid from df')

@@ -372,15 +372,18 @@ def _(fx):
     return tidy(out, "lon", "lat", "vmax", "rmw", "pmin", "router")
 
 
-@query("write_cells", "select run, frame, i, j, h from frames")
+@query("write_cells", "select run, frame, i, j, h from frames where not (run='r0' and frame>=8)")
 def _(fx):
     path = scratch(fx, "cells")
-    prints = B.fingerprint(fx.frames.select("run", F.col("frame").alias("name"), F.lit(1).alias("size"), F.col("t").alias("mtime")).distinct())
+    of = lambda rows: B.fingerprint(rows.select("run", F.col("frame").alias("name"), F.lit(1).alias("size"), F.col("t").alias("mtime")).distinct())
     data = fx.frames.select("run", "frame", "i", "j", "h")
-    sinks.write_cells(data, path, prints)
+    sinks.write_cells(data, path, of(fx.frames))
     # Unchanged fingerprints leave every run as it is, so this rewrite writes nothing.
-    sinks.write_cells(data.withColumn("h", F.lit(-1.0)), path, prints)
-    return fx.spark.read.parquet(path).select("run", F.col("frame").cast("int").alias("frame"), "i", "j", "h")
+    sinks.write_cells(data.withColumn("h", F.lit(-1.0)), path, of(fx.frames))
+    # A run that has lost frames gets a version without them; the others stay.
+    kept = "not (run = 'r0' and frame >= 8)"
+    sinks.write_cells(data.where(kept), path, of(fx.frames.where(kept)))
+    return sinks.published_cells(fx.spark, path).select("run", F.col("frame").cast("int").alias("frame"), "i", "j", "h")
 
 
 @query("write_series", "select gauge, sample_no, t, case when sample_no%6<>0 then q1 end as q1 from series")

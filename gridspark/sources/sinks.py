@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,27 +31,50 @@ def _exists(spark, path: str) -> bool:
 def write_cells(df: DataFrame, path: str, fingerprints: DataFrame | None = None) -> DataFrame | None:
     """Cells as Parquet by run and frame; with `fingerprints(run, fingerprint)` only changed runs are written.
 
-    Partitions are replaced one by one and the fingerprint table follows the data, so
-    a failed job leaves older runs valid and is simply repeated. Returns the runs written.
+    Then each write is a version of its own, and the manifest that names the valid version of each run is switched
+    last: what a changed run no longer has is gone with its old version, and a failed job leaves older versions
+    valid and is simply repeated. `published_cells` reads the valid versions. Returns the runs written.
     """
     by = [k for k in ("run", "variable", "frame") if k in df.columns]
-    spark, changed = df.sparkSession, None
-    if fingerprints is not None:
-        checkpoint_dir(spark)
-        known = f"{path}_fingerprints"
-        changed = fingerprints
-        if _exists(spark, known):
-            changed = fingerprints.join(spark.read.parquet(known).select("run", "fingerprint"), ["run", "fingerprint"], "left_anti")
-        changed = changed.checkpoint()
-        df = df.join(changed.select("run"), "run", "left_semi")
-    # Rows sorted by place let row-group statistics skip most of a frame.
-    out = _files(df, by, "j", "i")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    if changed is not None:
-        changed.select("fingerprint", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}_fingerprints")
+    spark = df.sparkSession
+    if fingerprints is None:
+        # Rows sorted by place let row-group statistics skip most of a frame.
+        _files(df, by, "j", "i").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        return None
+    checkpoint_dir(spark)
+    known, changed = f"{path}_manifest", fingerprints.select("run", "fingerprint")
+    if _exists(spark, known):
+        changed = changed.join(spark.read.parquet(known).select("run", "fingerprint"), ["run", "fingerprint"], "left_anti")
+    changed = changed.checkpoint()
+    if changed.isEmpty():
+        return changed
+    version = uuid4().hex
+    out = _files(df.join(changed.select("run"), "run", "left_semi"), by, "j", "i")
+    out.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", *by).parquet(path)
+    switched = changed.select("fingerprint", F.lit(version).alias("version"), "run")
+    switched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(known)
     return changed
 
 
+def published_cells(spark, path: str) -> DataFrame:
+    """Cells of the valid version of every run that `write_cells` has written with fingerprints."""
+    valid = spark.read.parquet(f"{path}_manifest").select("run", "version")
+    return spark.read.parquet(path).join(valid, ["run", "version"], "left_semi").drop("version")
+
+
+def drop_old_versions(spark, path: str) -> list[str]:
+    """Delete the versions that no run refers to any more, once nothing reads them; returns their names."""
+    valid = {r["version"] for r in spark.read.parquet(f"{path}_manifest").select("version").distinct().collect()}  # a row per write
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system, gone = folder.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in system.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version=") and name.removeprefix("version=") not in valid:
+            system.delete(status.getPath(), True)
+            gone.append(name.removeprefix("version="))
+    return gone
+
+
 def write_profile(df: DataFrame, path: str, by: str = "line_id") -> None:
     """Profiles as CSV, one folder per line: (frame,) distance, x, y, value, blank for missing."""
     cols = [c for c in ("t", "distance", "x", "y", "value") if c in df.columns]

@@ -7,6 +7,9 @@ from the split it came from.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,11 +98,12 @@ def scan_raster_text(
     key = F.lower(F.when(a != "", a).otherwise(b))
     val = F.when(a != "", F.regexp_extract("text", key_first, 2)).otherwise(F.regexp_extract("text", value_first, 1))
     ln = ln.withColumns({"_key": key, "_val": number(val)})
-    h = ln.where("_key <> ''").groupBy("file", "run").agg(
-        F.count("*").alias("_head"), *[F.max(F.when(F.col("_key") == w, F.col("_val"))).alias(f"_{w}") for w in HEADER_WORDS]
+    h = ln.groupBy("file", "run").agg(
+        F.count_if(F.col("_key") != "").alias("_head"), F.count_if(F.col("_key") == "").alias("_body"), *[F.max(F.when(F.col("_key") == w, F.col("_val"))).alias(f"_{w}") for w in HEADER_WORDS]
     )
     ncols, nrows = F.coalesce("_ncols", "_cols").cast("int"), F.coalesce("_nrows", "_rows").cast("int")
-    h = h.withColumns({"ncols": ncols, "nrows": nrows})
+    short = F.raise_error(F.concat(F.lit("raster shape differs from its header: "), "file")).cast("int")
+    h = h.withColumns({"ncols": ncols, "nrows": F.when(F.col("_body") == nrows, nrows).otherwise(short)})
     cell = F.coalesce("_cellsize", (F.col("_east") - F.col("_west")) / F.col("ncols"))
     h = h.withColumn("cellsize", cell)
     edge = lambda corner, low, side, centre: F.coalesce(corner, low, side, F.col(centre) - F.col("cellsize") / 2)
@@ -279,22 +283,40 @@ SUBFAULT_ALIASES = {"rigidity": "mu", "rupture time": "rupture_time", "rise time
 STANDARD_UNITS = {"length": "m", "pressure": "Pa", "speed": "m/s", "moment": "N-m"}
 
 
+#: Different headings of one scan, at most: each is a reading of its own.
+HEADINGS = 64
+
+
 def scan_subfaults(spark: SparkSession, path: str, glob: str = "*.csv", units: dict[str, str] | None = None) -> DataFrame:
-    """Subfault tables of one heading; units in a heading's parentheses, or in `units`, go to standard ones."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
-    cols = []
-    for name in raw.columns:
-        head, _, rest = name.partition("(")
-        plain = head.strip().lower()
-        plain = SUBFAULT_ALIASES.get(plain, plain)
-        if plain not in SUBFAULT_COLUMNS:
-            continue
-        value = F.col(f"`{name}`").try_cast("double")
-        unit = rest.rstrip(") ").strip() or (units or {}).get(plain)
-        if unit:
-            value = convert(value, unit, STANDARD_UNITS[kind_of(unit)])
-        cols.append(value.alias(plain))
-    return raw.select(run_of(F.col("_metadata.file_path")).alias("fault"), *cols)
+    """Subfault tables, each read by its own heading, so columns may stand in any order and be missing (NULL); units in a heading's
+    parentheses, or in `units`, go to standard ones."""
+    ln = numbered_lines(spark, path, glob).where(F.trim("text") != "")
+    first = ln.groupBy("file").agg(F.min_by("text", "line_no").alias("_heading"), F.min("line_no").alias("_first"))
+    found = sorted(r["_heading"] for r in first.select("_heading").distinct().limit(HEADINGS + 1).collect())
+    if len(found) > HEADINGS:
+        raise ValueError(f"more than {HEADINGS} different headings below {path}")
+    rows, parts = ln.join(first, "file").where("line_no > _first"), []
+    for heading in found:
+        names = next(csv.reader([heading]), [])
+        cells = F.from_csv("text", ", ".join(f"c{k} string" for k in range(len(names))))
+        cols = {}
+        for k, name in enumerate(names):
+            head, _, rest = name.partition("(")
+            plain = head.strip().lower()
+            plain = SUBFAULT_ALIASES.get(plain, plain)
+            if plain not in SUBFAULT_COLUMNS:
+                continue
+            value = F.col(f"_c.c{k}").try_cast("double")
+            unit = rest.rstrip(") ").strip() or (units or {}).get(plain)
+            if unit:
+                value = convert(value, unit, STANDARD_UNITS[kind_of(unit)])
+            cols[plain] = value
+        one = rows.where(F.col("_heading") == heading).withColumn("_c", cells)
+        parts.append((one, cols))
+    given = [c for c in dict.fromkeys(c for _, cols in parts for c in cols)]
+    none = F.lit(None).cast("double")
+    out = [one.select(F.col("run").alias("fault"), *[cols.get(c, none).alias(c) for c in given]) for one, cols in parts]
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "fault string")
 
 
 RUN_SCHEMA = "status string, crs string, rho double, origin string, created string, updated string"
