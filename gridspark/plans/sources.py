@@ -141,8 +141,11 @@ def _(fx):
 def _(fx):
     s = F.col("p_size")
     good = F.to_json(F.struct(F.when(s % 4 == 0, "completed").otherwise("failed").alias("status"), F.col("p_brand").alias("crs"), (s * 10.0).alias("rho")))
-    raw = fx.table("part").select(F.col("p_partkey").cast("string").alias("run"), F.when(s % 4 == 1, "{broken").when(s % 4 == 2, "[]").otherwise(good).alias("value"))
-    return text.parse_runs(raw).select("run", "status", "crs", "rho")
+    raw = fx.table("part").select(F.col("p_partkey").cast("string").alias("run"), F.when(s % 4 == 1, "{broken").when(s % 4 == 2, "[]").otherwise(good).alias("text"))
+    # One small marker file per run.
+    path = scratch(fx, "runs")
+    raw.repartition(8, "run").write.partitionBy("run").text(path)
+    return text.scan_runs(fx.spark, path, "*.txt").select("run", "status", "crs", "rho")
 
 
 @query("scan_polygons", """select cast(s_suppkey as varchar) as run, cast(f*1048576 as bigint) as pid, case when f=0 then 5 else 4 end as vertices, case when f=0 then 1 else 0 end as holes, s_suppkey*1e0+f as x0 from supplier cross join (values (0),(1)) t(f) where f=0 or s_suppkey%3<>0""")
@@ -351,15 +354,27 @@ def full_tracks(fx):
                             F.when(k % 3 != 0, F.lit(40000.0)).alias("rmw"), F.when(k % 5 != 0, F.lit(3e5)).alias("router"), "event")
 
 
-@query("track_rows", """with k as (select storm, row_no, floor(row_no/2)*3600 as s, lon, lat, nullif(vmax,0) as vmax, mslp*100 as pmin, case when row_no%3<>0 then 40000e0 else 5000e0 end as rmw, case when row_no%5<>0 then 3e5 end as router, event, row_number() over (partition by storm, floor(row_no/2) order by row_no) as n from tracks),
+TRACK_ROWS_SQL = """with k as (select storm, row_no, floor(row_no/2)*3600 as s, lon, lat, nullif(vmax,0) as vmax, mslp*100 as pmin, case when row_no%3<>0 then 40000e0 else 5000e0 end as rmw, case when row_no%5<>0 then 3e5 end as router, event, row_number() over (partition by storm, floor(row_no/2) order by row_no) as n from tracks),
 f as (select storm, coalesce(max(s) filter (event='L'), max(s)) as base from k group by storm)
-select k.storm, timestamp '2024-01-01'+to_seconds(base) as "offset", s-base as seconds, lon, lat, vmax, rmw, pmin, router from k join f on f.storm=k.storm where n=1 and vmax is not null and router is not null""")
+select k.storm, timestamp '2024-01-01'+to_seconds(base) as "offset", s-base as seconds, lon, lat, vmax, rmw, pmin, router from k join f on f.storm=k.storm where n=1 and vmax is not null and router is not null"""
+
+
+@query("track_rows", TRACK_ROWS_SQL)
 def _(fx):
     t = full_tracks(fx)
     out = sinks.track_rows(t, landfall_offset(t), {"rmw": F.lit(5000.0)})
     return out.withColumn("offset", F.col("offset").cast("timestamp_ntz"))
 
 
+@query("write_tracks", TRACK_ROWS_SQL)
+def _(fx):
+    t, path = full_tracks(fx), scratch(fx, "storms")
+    rows = sinks.track_rows(t, landfall_offset(t), {"rmw": F.lit(5000.0)})
+    sinks.write_tracks(rows, path)
+    out = fx.spark.read.option("header", True).schema(rows.drop("storm").schema).csv(path)
+    return out.select(*[F.col(c).cast(kind) for c, kind in rows.dtypes]).withColumn("offset", F.col("offset").cast("timestamp_ntz"))
+
+
 @query("scan_tracks_native", """with k as (select storm, row_no, floor(row_no/2)*3600 as s, lon, lat, nullif(vmax,0) as vmax, mslp*100 as pmin, case when row_no%3<>0 then 40000e0 else 5000e0 end as rmw, case when row_no%5<>0 then 3e5 end as router, row_number() over (partition by storm, floor(row_no/2) order by row_no) as n from tracks)
 select cast(storm as varchar) as storm, timestamp '2024-01-01'+to_seconds(s) as ts, lon, lat, vmax, rmw, pmin, router from k where n=1 and vmax is not null and router is not null""")
 def _(fx):
@@ -406,3 +421,10 @@ def _(fx):
 def _(fx):
     e = fx.ensemble
     return sinks.union_metrics(e.groupBy("case", "model").agg(F.max("v").alias("peak")), e.groupBy("case").agg(F.sum("v").alias("mass")))
+
+
+@query("write_metrics", """select "case", model, max(v) as peak, null::double as mass from ensemble group by "case", model union all select "case", null, null, sum(v) from ensemble group by "case" """)
+def _(fx):
+    e, path = fx.ensemble, scratch(fx, "metrics")
+    sinks.write_metrics([e.groupBy("case", "model").agg(F.max("v").alias("peak")), e.groupBy("case").agg(F.sum("v").alias("mass"))], path)
+    return fx.spark.read.option("header", True).schema("case string, model string, peak double, mass double").csv(path)
