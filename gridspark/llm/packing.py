@@ -9,21 +9,23 @@ share is numbered by many tasks.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import Kept
 
 CAPACITY, END = 4096, 1
-# Entries of each of the two generations of a Python worker's word cache, and characters encoded in one go.
-CACHE, AT_ONCE = 500_000, 2_000_000
+# Chunks that a Python worker remembers at most, apart from those of the texts at hand, and characters encoded in one go.
+CACHE, AT_ONCE = 600_000, 2_000_000
 # ASCII marks that end a word for the tokenizer wherever they follow a letter; an apostrophe may not.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # Pieces that one numbering group holds on average.
 NUMBERED = 200_000
 
@@ -32,72 +34,99 @@ class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit bytes.
 
     Tokens never span white space, white space has no token, and letters are lower-cased, so a chunk between blanks
-    is encoded once and remembered; a chunk of a word and closing marks is put together from the two. The vocabulary
-    must be of such a kind (word ends, lower case, white space dropped)."""
+    is encoded once and remembered; a chunk of a word and closing marks is put together from the two. Chunks become
+    numbers of distinct ones in Arrow, and their ids are gathered by those numbers. The vocabulary must be of such a
+    kind (word ends, lower case, white space dropped)."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        # A chunk's place; by place, where its ids start in `ids`, and whether a later batch had it too.
+        self.known: dict[str, int] = {}
+        self.starts, self.ids, self.again = np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(0, bool)
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks at these places, one after the other, and where each ends."""
+        first, size = self.starts[place], self.starts[place + 1] - self.starts[place]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def forget(self) -> None:
+        """Keep the chunks that came again since the last time."""
+        place = np.flatnonzero(self.again)
+        names = list(self.known)
+        self.known = {names[p]: k for k, p in enumerate(place.tolist())}
+        self.ids, ends = self.gather(place)
+        self.starts, self.again = np.append(0, ends), np.zeros(len(place), bool)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks in one text and share its tokens out by where they start."""
+    def coded(self, chunks: list[str]) -> Iterator[bytes]:
+        """Ids of each chunk: many are encoded as one text, whose tokens are shared out by where they start."""
         for at in range(0, len(chunks), 20_000):
             some = chunks[at:at + 20_000]
-            texts = [c.decode() for c in some]
-            coded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4").tobytes()
-            starts = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-            self.known.update((c, ids[a:b]) for c, a, b in zip(some, cuts, cuts[1:]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().lower().split() for t in texts]
+            out = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(out.ids, "<u4").tobytes()
+            starts = np.array(out.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            yield from map(ids.__getitem__, map(slice, [0, *cuts], cuts))
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """The place of each of these distinct chunks; new ones are encoded and get the next places."""
+        known = self.known
+        at = np.fromiter(map(known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        fresh = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(fresh):
+            new = list(map(chunks.__getitem__, fresh.tolist()))
+            halves, asked = {}, set()
+            for c in new:
+                stem = c.rstrip(MARKS)
+                if len(stem) < len(c) and stem[-1:].isascii() and stem[-1:].isalpha():
+                    halves[c] = stem
+                    asked.add(stem)
+                    asked.add(c[len(stem):])
+                else:
+                    asked.add(c)
+            asked = list(asked)
+            ids = dict(zip(asked, self.coded(asked)))
+            blobs = [ids[halves[c]] + ids[c[len(halves[c]):]] if c in halves else ids[c] for c in new]
+            at[fresh] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(new, at[fresh].tolist()))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), "<u4")])
+            self.again = np.append(self.again, np.zeros(len(new), bool))
+        return at
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; a NULL text is empty."""
         if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        # One look at each chunk; those not remembered are noted with their place.
-        found, gaps = [list(map(known.get, s)) for s in split], []
-        for s, got in zip(split, found):
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                gaps.append((got, at, s[at]))
-        new = {c for _, _, c in gaps}
-        # Asked key by key: a difference of a set and a dictionary's keys goes through all the keys.
-        known.update([(c, older[c]) for c in new if c in older])
-        parts, fresh = [], set()
-        for c in [c for c in new if c not in known]:
-            stem = c.rstrip(MARKS)
-            if len(stem) < len(c) and stem[-1:].isalpha():
-                parts.append((c, stem, c[len(stem):]))
-                fresh.update(parts[-1][1:])
-            else:
-                fresh.add(c)
-        self.learn([c for c in fresh if c not in known])
-        known.update([(c, known[stem] + known[end]) for c, stem, end in parts])
-        for got, at, c in gaps:
-            got[at] = known[c]
+            self.forget()
+        texts = texts.fill_null("")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = pc.list_flatten(split).dictionary_encode()
+        # White space at an end of a text leaves an empty chunk there, which has no ids.
+        place = self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+        ids, ends = self.gather(place)
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split)))]
         # A special token's spelling is met only in the text as it stands.
-        return [self.whole(t) if "<|" in t else b"".join(got) for t, got in zip(texts, found)]
+        special = np.asarray(pc.match_substring(texts, "<|"))
+        for k, odd in enumerate(special.tolist()):
+            yield self.whole(texts[k].as_py()) if odd else ids[cuts[k]:cuts[k + 1]].tobytes()
 
 
 def encoded(encode: Encoder, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of a batch's texts, about AT_ONCE characters at a time; a NULL text is empty."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text.as_py() or "")
-        size += len(some[-1])
-        if size > AT_ONCE:
-            yield from encode(some)
-            some, size = [], 0
-    yield from encode(some)
+    """Ids of a batch's texts, about AT_ONCE bytes at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, side="right")))
+        yield from encode(texts[at:to])
+        at = to
 
 
 def token_pieces(
