@@ -1,12 +1,12 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact sorted-array intersection.
 
-Texts with equal shingle sets are one class before anything is compared. Two sets that reach the similarity must
-share one of their first shingles in any common order (prefix of n - ceil(t n) + 1), so only classes that share such
-a key meet. Keys that very many classes share are left, and their classes are ordered anew by how rare a shingle is,
-which takes shared passages out of the prefixes. Every class of a key is first compared with the key's smallest one;
-what is then connected needs no further comparison. The rest meets in tiles (key, size band): classes that are not
-connected with the key's smallest one meet those of their own and the next bands. Bitmaps bound the overlap from above,
-and what passes is decided by the sorted shingle arrays.
+Shingles are counted first, over all texts, so that every set can be put in one common order, rare shingles before
+frequent ones. Texts with equal sets are one class before anything is compared. Two sets that reach the similarity must
+share one of their first shingles in that order (prefix of n - ceil(t n) + 1), so only classes that share such a key
+meet; a passage that many texts share stays behind the prefixes of all texts that are more than this passage. Every
+class of a key is first compared with the key's smallest one; what is then connected needs no further comparison. The
+rest meets in tiles (key, size band): classes that are not connected with the key's smallest one meet those of their own
+and the next bands. Bitmaps bound the overlap from above, and what passes is decided by the sorted shingle arrays.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from gridspark.llm.common import Kept, components, mixed, printed, tested, with_
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
-#: Classes that a key may have before its classes are ordered by rarity.
-HOT = 256
-#: Buckets of shingle hashes that the order by rarity counts.
-RARITY = 1 << 18
+#: Shingles that a task gathers before it hands their counts on, and those of one counting group on average.
+BLOCK, GROUP = 1 << 20, 1 << 20
+#: Texts that share a shingle which the order calls frequent, and how many frequent shingles the order knows at most: the
+#: most frequent ones by their counts over all texts. What it does not know comes first, by hash.
+SELDOM, FREQUENT = 16, 1 << 20
+#: Power of two of the texts from which on a shingle is shared without asking.
+SHARED = 12
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
 
@@ -75,24 +78,103 @@ def fold(maps: np.ndarray, width: int) -> np.ndarray:
     return maps
 
 
-def shingle_sets(docs: DataFrame, size: int, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, prefix, bitmap) of every row; the digest is NULL and n zero for a text without words."""
-    fields = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+class Order:
+    """How frequent a shingle is: a power of two of the number of texts that have it, zero for one that is not known.
 
-    @F.arrow_udf("struct<n:bigint,digest:binary,prefix:array<bigint>,bitmap:binary>")
+    Known are the most frequent `FREQUENT` shingles at most, whatever the number of texts; they are told apart by their
+    first `bits` bits. Any order that all sets share finds all pairs: what is not known costs candidates, never links."""
+
+    def __init__(self, bits: int, known: np.ndarray, power: np.ndarray):
+        self.shift, at = np.uint64(64 - bits), np.argsort(known)
+        self.known, self.power = known[at], power[at]
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(shingles), np.uint8)
+        short = shingles >> self.shift
+        at = np.minimum(np.searchsorted(self.known, short), len(self.known) - 1)
+        return np.where(self.known[at] == short, self.power[at], 0).astype(np.uint8)
+
+
+def frequent(kept: Kept, docs: DataFrame, size: int, text_col: str, least: int = SELDOM, most: int = FREQUENT) -> Order:
+    """The order of the shingles of all texts: it knows those in `least` texts or more, the `most` most frequent at most.
+
+    Tasks hand on sorted blocks with counts, cut by the first bits of the hashes. There are as many such ranges as the
+    bytes of all texts ask for, so a range holds about GROUP shingles at every size, and the 32 bits behind its own tell
+    its shingles apart but for about one in thousands, whose counts are then one."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(6, int(volume // (4 * GROUP)).bit_length())
+    shift, low = np.uint64(32 - ranges), np.uint64((1 << 32) - 1)
+
+    def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, some, held = Shingler(size), [], 0
+
+        def counted() -> pa.RecordBatch:
+            keys, often = np.unique(np.concatenate(some) >> shift, return_counts=True)
+            cuts = np.flatnonzero(np.diff(keys >> np.uint64(32), prepend=np.uint64(1 << 40)))
+            ends = np.append(cuts[1:], len(keys))
+            short, often = (keys & low).astype("<u4"), often.astype("<u4")
+            blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array((keys[cuts] >> np.uint64(32)).astype(np.int64)), blob(short), blob(often)], ["range", "keys", "often"])
+
+        for batch in parts:
+            for s in shingle(batch["text"]):
+                some.append(s)
+                held += len(s)
+                if held >= BLOCK:
+                    yield counted()
+                    some, held = [], 0
+        if held:
+            yield counted()
+
+    def summed(rows: pa.Table) -> pa.Table:
+        keys, often = (np.frombuffer(b"".join(rows[c].to_pylist()), "<u4") for c in ("keys", "often"))
+        at = np.argsort(keys)
+        keys, often = keys[at], often[at].astype(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sums = np.add.reduceat(often, first)
+        many = sums >= least
+        whole = (rows["range"][0].as_py() << 32) + keys[first][many].astype(np.int64)
+        return pa.table({"key": whole, "power": np.log2(sums[many]).astype(np.int32)})
+
+    counts = texts.mapInArrow(blocks, "range bigint, keys binary, often binary").groupBy("range").applyInArrow(summed, "key bigint, power int")
+    counts = kept.write(counts)
+    lowest, total = 0, 0
+    for row in sorted(counts.groupBy("power").agg(F.count("*").alias("k")).collect(), reverse=True):  # a row per power of two
+        total += row["k"]
+        if total > most:
+            lowest = row["power"] + 1
+            break
+    known = counts.where(F.col("power") >= lowest).toArrow()  # `most` rows at most
+    kept.drop(counts)
+    return Order(32 + ranges, known["key"].to_numpy().astype(np.uint64), known["power"].to_numpy().astype(np.uint8))
+
+
+def shingle_sets(docs: DataFrame, order: Order, size: int, reach: int, id_col: str, text_col: str, shared: int = SHARED) -> DataFrame:
+    """(doc_id, n, digest, prefix, seldom, bitmap) of every row; the digest is NULL and n zero for a text without words.
+
+    The first `seldom` shingles of a prefix may belong to one text alone, the others are known to be shared."""
+    names = ["n", "digest", "prefix", "seldom", "bitmap"]
+
+    @F.arrow_udf("struct<n:bigint,digest:binary,prefix:array<bigint>,seldom:int,bitmap:binary>")
     def take(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingle = Shingler(size)
         for texts in parts:
-            n, digests, prefixes, maps = [], [], [], []
+            n, digests, prefixes, seldom, maps = [], [], [], [], []
             for s in shingle(texts):
+                power = order(s)
+                first = np.argsort(power, kind="stable")[:prefix_length(len(s), reach)]
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                prefixes.append(s[:prefix_length(len(s), reach)].view(np.int64))
+                prefixes.append(s[first].view(np.int64))
+                seldom.append(int((power[first] < shared).sum()))
                 maps.append(bitmap(s) if len(s) else None)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]), pa.int64())
             )
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(maps, pa.binary())], fields=list(fields))
+            arrays = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(seldom, pa.int32()), pa.array(maps, pa.binary())]
+            yield pa.StructArray.from_arrays(arrays, names)
 
     return docs.select(F.col(id_col).alias("doc_id"), take(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
@@ -146,61 +228,21 @@ def prefix_rest(n: Column, reach: int) -> Column:
 def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
     """Pairs (a, b, na, nb) of classes of different labels that share enough keys for the similarity.
 
-    `rows` has level, key, id, n, missing, label and main, the label of the key's smallest class. Bands are as wide as
-    sizes may differ, so a residual class (not labelled main) goes to the tiles of its own and both next bands, and
-    meets all of a tile's classes; two of the main label never meet. The overlap of two sets is at most the keys that
-    they share in their prefixes and what stands behind one of those; `missing` keys of a prefix are not in `rows` and
-    count as shared."""
+    `rows` has key, id, n, label and main, the label of the key's smallest class. Bands are as wide as sizes may differ,
+    so a residual class (not labelled main) goes to the tiles of its own and both next bands, and meets all of a tile's
+    classes; two of the main label never meet. The overlap of two sets is at most the keys that they share in their
+    prefixes and what stands behind one of those."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / reach)).cast("int")
-    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "n", "missing", "label")]
-    there = rows.select("level", "key", band.alias("band"), *side("2"), (F.col("label") == F.col("main")).alias("joined"))
-    here = rows.where("label <> main").select("level", "key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), *side("1"))
-    met = here.join(there, ["level", "key", "band"]).where((F.col("label1") != F.col("label2")) & (F.col("joined") | (F.col("id1") < F.col("id2"))))
+    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "n", "label")]
+    there = rows.select("key", band.alias("band"), *side("2"), (F.col("label") == F.col("main")).alias("joined"))
+    here = rows.where("label <> main").select("key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), *side("1"))
+    met = here.join(there, ["key", "band"]).where((F.col("label1") != F.col("label2")) & (F.col("joined") | (F.col("id1") < F.col("id2"))))
     met = met.where(100 * F.least("n1", "n2") >= reach * F.greatest("n1", "n2"))
     first = F.col("id1") < F.col("id2")
     ordered = lambda c, x, y: F.when(first, F.col(c + x)).otherwise(F.col(c + y))
-    counted = met.groupBy("level", ordered("id", "1", "2").alias("a"), ordered("id", "2", "1").alias("b"), ordered("n", "1", "2").alias("na"), ordered("n", "2", "1").alias("nb")).agg(
-        F.count("*").alias("shared"), F.max(F.least("missing1", "missing2")).alias("missing"))
-    most = F.col("shared") + F.col("missing") + F.greatest(prefix_rest(F.col("na"), reach), prefix_rest(F.col("nb"), reach))
-    return counted.where((100 + reach) * most >= reach * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
-
-
-def rare_first(kept: Kept, texts: DataFrame, ids: DataFrame, size: int, reach: int) -> DataFrame:
-    """(key, id, n) of the classes `ids` (id, n): first shingles of each in an order by how often these classes have one.
-
-    Counts are kept for RARITY buckets of hashes, a table whose size does not grow with the data; any order that all
-    sets share finds all pairs, so buckets cost candidates, never links. Shingles in one class alone are left out. An
-    id that repeats with another text of the same size has the first shingles of both: more keys, no fewer."""
-    ids = ids.select(F.col("id").alias("doc_id"), "n")
-    busy = kept.write(tested(texts, ids, "doc_id").where("_maybe").drop("_maybe").join(ids, "doc_id"))
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, total = Shingler(size), np.zeros(RARITY, np.int64)
-        for batch in parts:
-            for s in shingle(batch["text"]):
-                np.add.at(total, (s & np.uint64(RARITY - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "often"])
-
-    sums = busy.select("text").mapInArrow(count, "bucket int, often long").groupBy("bucket").agg(F.sum("often").alias("often")).toPandas()  # RARITY rows at most
-    often = np.zeros(RARITY, np.int64)
-    often[sums["bucket"].to_numpy(np.int64)] = sums["often"].to_numpy(np.int64)
-
-    @F.arrow_udf("struct<n:int,first:array<bigint>>")
-    def rarest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shingle = Shingler(size)
-        for some in parts:
-            n, firsts = [], []
-            for s in shingle(some):
-                order = np.lexsort((s, often[(s & np.uint64(RARITY - 1)).astype(np.int64)]))
-                n.append(len(s))
-                firsts.append(s[order[:prefix_length(len(s), reach)]].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.empty(0, np.int64)]), pa.int64()))
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), lists], ["n", "first"])
-
-    sets = busy.select("doc_id", "n", rarest("text").alias("s")).where("n = s.n")
-    keys = sets.select(F.explode("s.first").alias("key"), F.col("doc_id").alias("id"), "n").repartition("key")
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
+    counted = met.groupBy(ordered("id", "1", "2").alias("a"), ordered("id", "2", "1").alias("b"), ordered("n", "1", "2").alias("na"), ordered("n", "2", "1").alias("nb")).agg(F.count("*").alias("shared"))
+    most = F.col("shared") + F.greatest(prefix_rest(F.col("na"), reach), prefix_rest(F.col("nb"), reach))
+    return counted.where((100 + reach) * most >= reach * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
@@ -220,8 +262,8 @@ def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame,
 
 
 def jaccard_join(
-    docs: DataFrame, size: int = WORDS, reach: int = REACH, hot: int = HOT, id_col: str = "doc_id",
-    text_col: str = "text",
+    docs: DataFrame, size: int = WORDS, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text",
+    seldom: int = SELDOM, frequent_most: int = FREQUENT, shared_from: int = SHARED,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links).
 
@@ -229,10 +271,12 @@ def jaccard_join(
     by links) and n_rows (rows with that doc_id) for every row of `docs`; links are pairs (a, b) of class ids that
     reach the similarity, enough of them to connect all that is connected. Rows without words, or with a NULL id,
     link with nothing: their component is their own id. Rows that repeat an id share a component; if their texts
-    differ, the larger set stands for the id in the links. Other columns are left out."""
+    differ, the larger set stands for the id in the links. Other columns are left out. `seldom`, `frequent_most` and
+    `shared_from` (see SELDOM, FREQUENT and SHARED) change costs, never results."""
     spark = docs.sparkSession
     kept = Kept(spark)
-    sets = kept.write(shingle_sets(docs, size, reach, id_col, text_col))
+    order = frequent(kept, docs, size, text_col, seldom, frequent_most)
+    sets = kept.write(shingle_sets(docs, order, size, reach, id_col, text_col, shared_from))
     mine = sets.where("doc_id is not null and n > 0")
     # One set per id, one id per set.
     by_id = mine.groupBy("doc_id").agg(F.max(F.struct("n", "digest")).alias("s")).select("doc_id", "s.digest")
@@ -246,28 +290,25 @@ def jaccard_join(
     base = kept.write(sets.select("doc_id", "n"))
     kept.drop(sets)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    keys = meta.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n")).repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    live = kept.write(keys.join(shared, "key"))
+    # A key that one class has alone meets nothing. The order knows many keys as shared; those stay where they are.
+    keys = lambda part: meta.select(F.explode(part).alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"))
+    asked = keys(F.slice("prefix", F.lit(1), F.col("seldom"))).repartition("key")
+    shared = asked.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    rows = kept.write(asked.join(shared, "key").unionByName(keys(F.slice("prefix", F.col("seldom") + 1, F.size("prefix")))))
     sizes = kept.write(meta.select("doc_id", "n", "bitmap"))
     kept.drop(meta)
-    busy = kept.write(live.where(F.col("k") > hot).groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("missing")))
-    calm = live.where(F.col("k") <= hot).join(busy.select("id", "missing"), "id", "left").select(F.lit(0).alias("level"), "key", "id", "n", F.coalesce("missing", F.lit(0)).alias("missing"))
-    anew = rare_first(kept, texts, busy, size, reach).select(F.lit(1).alias("level"), "key", "id", "n", F.lit(0).cast("long").alias("missing"))
-    rows = kept.write(calm.unionByName(anew))
-    kept.drop(live, busy)
 
     # First the smallest class of every key against the others of the key.
-    low = rows.groupBy("level", "key").agg(F.min(F.struct("id", "n")).alias("l")).select("level", "key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
-    star = rows.join(low, ["level", "key"]).where("a <> id").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
+    low = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+    star = rows.join(low, "key").where("a <> id").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
     star = star.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb")).distinct()
     stars = confirmed(kept, star, texts, sizes, reach, size)
     roots = kept.write(components(kept, stars))
 
     # Then all that is not connected yet, tile by tile.
     named = rows.join(roots, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    main = named.groupBy("level", "key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    apart = named.join(main.select("level", "key", "main"), ["level", "key"])
+    main = named.groupBy("key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    apart = named.join(main.select("key", "main"), "key")
     links = stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size))
     kept.drop(rows, sizes)
     linked = components(kept, links).select(F.col("id").alias("class_id"), F.col("component").alias("component_id"))

@@ -84,8 +84,8 @@ def test_jaccard_on_the_table(docs):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("hot", [2, 1024])
-def test_jaccard_near_the_threshold_and_with_hot_keys(spark, hot):
+@pytest.mark.parametrize("options", [{}, {"seldom": 2}, {"seldom": 2, "frequent_most": 40}, {"seldom": 2, "shared_from": 1}])
+def test_jaccard_near_the_threshold_and_with_hot_keys(spark, options):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -98,12 +98,23 @@ def test_jaccard_near_the_threshold_and_with_hot_keys(spark, hot):
     rows += [(100 + i, passage + " " + " ".join(f"q{i}y{k}" for k in range(i + 1))) for i in range(30)]
     rows += [(200, "a b c"), (201, "A  b\nC"), (202, "a b d"), (203, "one"), (204, "one"), (205, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    members, links = jaccard.jaccard_join(df, hot=hot)
+    members, links = jaccard.jaccard_join(df, **options)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()} == brute_components(rows)
     sets = brute_components(rows)
     assert all(sets[r.a][1] == sets[r.b][1] for r in links.collect())
 
 
+def test_frequent_shingles_are_counted(spark):
+    texts = [" ".join(f"p{k}" for k in range(12)) + f" only{i}" for i in range(20)] + ["one two three four five six"] * 5 + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    order = jaccard.frequent(common.Kept(spark), docs, 5, "text", least=2)
+    shingle = jaccard.Shingler(5)
+    import pyarrow as pa
+
+    powers = [sorted(order(s).tolist()) for s in shingle(pa.array([texts[0], texts[20], "new words that no text has"]))]
+    assert powers == [[0] + [4] * 8, [2, 2], [0, 0]]
+
+
 def test_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(2)
     for n in (1, 5, 80, 900, 5000):
