@@ -474,3 +474,17 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     clean = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").collect()}
     assert len(clean - kept) <= 0.02 * len(clean)
     assert isinstance(docs.schema["doc_id"].dataType, T.LongType)
+
+
+def test_encoder_forgets_and_meets_odd_space(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE", 5)
+    monkeypatch.setattr(packing, "AT_ONCE", 40)
+    encode = packing.Encoder(packing.default_vocabulary())
+    odd = ["", None, "  a  b ", "a\x0bb\x0cc\x1cd\x1de\x85f　g", "<|endoftext|> hi", "Été ÀB naïve! don't x... ßİ", "wow!!! (a) a.b,c 中文。 ok", "x" * 5000, "\n", "ﬁ ß."]
+    texts = pa.array(odd * 3 + [f"word{k} same, same." for k in range(50)], pa.string())
+    got = list(packing.encoded(encode, texts))
+    assert got == [encode.whole(t or "") for t in texts.to_pylist()]
+    assert list(packing.encoded(encode, texts[7:])) == got[7:] and list(packing.encoded(encode, texts[:0])) == []
+    assert len(encode.known) < 30
