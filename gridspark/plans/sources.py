@@ -209,7 +209,7 @@ def time_lines(frames_, stem: str, form: str, meqn: int, ghosts: int = 0):
     return frames_.select("run", file_name(stem, "t").alias("name"), F.posexplode(text).alias("line_no", "text"))
 
 
-GRID_WORDS = (("1", "grid_number"), ("1", "AMR_level"), ("64", "mx"), ("50", "my"), ("0.0", "xlow"), ("0.0", "ylow"), ("1.0", "dx"), ("1.0", "dy"))
+GRID_WORDS = (("1", "grid_number"), ("1", "AMR_level"), ("64", "mx"), (None, "my"), ("0.0", "xlow"), ("0.0", "ylow"), ("1.0", "dx"), ("1.0", "dy"))
 FRAMES_SQL = "select run, frame, t, i, j, x, y, h, hu, hv, b from frames"
 
 
@@ -217,7 +217,14 @@ FRAMES_SQL = "select run, frame, t, i, j, x, y, h, hu, hv, b from frames"
 def _(fx):
     path, times = scratch(fx, "frames"), fx.frames.select("run", "frame", "t").distinct()
     payloads(fx.frames, ["j", "i"], ["h", "hu", "hv", "b"], path, file_name("fgout0001", "b"))
-    heads = times.select("run", file_name("fgout0001", "q").alias("name"), F.posexplode(F.array(*[F.lit(f"{v} {w}") for v, w in GRID_WORDS])).alias("line_no", "text"))
+    heads = grid_lines(fx)
+def grid_lines(fx):
+    """Header files of the fixed grid, each as high as its frame's rows reach."""
+    words = F.array(*[F.concat_ws(" ", F.lit(v) if v else F.col("my").cast("string"), F.lit(w)) for v, w in GRID_WORDS])
+    high = fx.frames.groupBy("run", "frame").agg((F.max("j") + 1).alias("my"))
+    return high.select("run", file_name("fgout0001", "q").alias("name"), F.posexplode(words).alias("line_no", "text"))
+
+
     put_named(time_lines(times, "fgout0001", "binary64", 4).unionByName(heads), path)
     return frames.scan_frames(fx.spark, path)
 
@@ -225,7 +232,7 @@ def _(fx):
 @query("scan_frames_text", FRAMES_SQL)
 def _(fx):
     path, times = scratch(fx, "frames"), fx.frames.select("run", "frame", "t").distinct()
-    heads = times.select("run", file_name("fgout0001", "q").alias("name"), F.posexplode(F.array(*[F.lit(f"{v} {w}") for v, w in GRID_WORDS])).alias("line_no", "text"))
+    heads = grid_lines(fx)
     body = fx.frames.select("run", file_name("fgout0001", "q").alias("name"), (100 + F.col("j") * 64 + F.col("i")).alias("line_no"), num("h", "hu", "hv", "b").alias("text"))
     put_named(time_lines(times, "fgout0001", "ascii", 4).unionByName(heads).unionByName(body), path)
     return frames.scan_frames(fx.spark, path)

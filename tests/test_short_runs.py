@@ -28,6 +28,8 @@ def folder(tmp_path_factory):
 
 NAMES = """
 composite_change
+scan_frames
+scan_frames_text
 """.split()
 
 
