@@ -173,14 +173,17 @@ def _(fx):
     return out.withColumns({c: F.round(c, 6) for c in ("q", "qu", "qv")})
 
 
-def payloads(df, order, values, path: str, name, kind: str = "float64", ghosts: int = 0, width: int = 0):
-    """Write each group (run, frame, name) of rows as one binary file, groups in parallel; `ghosts` rings of NaN around each patch."""
+def payloads(df, order, values, path: str, name, kind: str = "float64", ghosts: int = 0, shape: tuple[int, ...] = ()):
+    """Write each group (run, frame, name) of rows as one binary file, groups in parallel.
+
+    With the `shape` (patches, rows, columns) of a file, cells that have no row are NaN, as are `ghosts` rings around each patch."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         q = pdf[values].to_numpy(kind)
-        if ghosts:
-            whole = q.reshape(-1, 50, width, len(values))
+        if shape:
+            whole = np.full((*shape, len(values)), np.nan, kind)
+            whole[pdf["patch"].to_numpy() - 1, pdf["j"].to_numpy(), pdf["i"].to_numpy()] = q
             q = np.pad(whole, ((0, 0), (ghosts, ghosts), (ghosts, ghosts), (0, 0)), constant_values=np.nan)
         put(f"{path}/run={pdf['run'].iloc[0]}/{pdf['name'].iloc[0]}", q.tobytes())
         return pdf[["run"]].head(1)
@@ -241,7 +244,7 @@ def _(fx):
 def binary_patches(fx):
     """Patch frames in binary form with two rings of ghost cells, read back."""
     path, times = scratch(fx, "patches"), fx.patches.select("run", "frame", "t").distinct()
-    payloads(fx.patch_cells, ["patch", "j", "i"], ["h", "hu", "hv"], path, file_name("fort", "b"), "float32", 2, 64)
+    payloads(fx.patch_cells, ["patch", "j", "i"], ["h", "hu", "hv"], path, file_name("fort", "b"), "float32", 2, (2, 50, 64))
     heads = patch_lines(fx).where("line_no % 10000 < 100").select("run", file_name("fort", "q").alias("name"), "line_no", "text")
     put_named(time_lines(times, "fort", "binary32", 3, 2).unionByName(heads), path)
     return frames.scan_patches(fx.spark, path)
@@ -250,7 +253,8 @@ def binary_patches(fx):
 # Both patches of a frame are stored, so frames of one patch only are none.
 @query("scan_patch_cells_binary", "select run, frame, t, patch, level, i, j, h, hu, cast(cast(hv as float) as double) as hv from patch_cells")
 def _(fx):
-    return binary_patches(fx)[1].select("run", "frame", "t", "patch", "level", "i", "j", *[F.col("q")[k].alias(c) for k, c in enumerate(("h", "hu", "hv"))])
+    # Headers tell whole patches; cells that have no row are NaN in the payload.
+    return binary_patches(fx)[1].where(~F.isnan(F.col("q")[0])).select("run", "frame", "t", "patch", "level", "i", "j", *[F.col("q")[k].alias(c) for k, c in enumerate(("h", "hu", "hv"))])
 
 
 @query("scan_patches_binary", "select run, frame, t, patch, level, xlow, ylow, dx, dy, mx, my from patches")

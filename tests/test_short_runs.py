@@ -30,6 +30,7 @@ NAMES = """
 composite_change
 scan_frames
 scan_frames_text
+scan_patch_cells_binary
 """.split()
 
 
