@@ -31,6 +31,7 @@ composite_change
 scan_frames
 scan_frames_text
 scan_patch_cells_binary
+scan_patches_binary
 """.split()
 
 
