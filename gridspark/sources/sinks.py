@@ -92,21 +92,23 @@ def write_series(df: DataFrame, path: str, by: list[str], order: str = "t") -> N
 def raster_lines(cells: DataFrame, grids: DataFrame, nodata: float = -9999.0, dialect: str = "esri") -> DataFrame:
     """Lines (keys, line_no, text) of one raster per field: six header lines, then rows from the north.
 
-    Numbers print with the digits that read back exactly.
+    Numbers print with the digits that read back exactly. Cells of the grid that have no row are nodata.
     """
     by = grain(cells)
     value = F.coalesce(F.col("z"), F.lit(nodata)).cast("string")
-    row = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))), lambda s: s["v"]), " ")
-    rows = cells.groupBy(*by, "j").agg(row.alias("text"))
     g = grids.select("run", "ncols", "nrows", "xmin", "ymin", "cellsize")
-    rows = rows.join(g, "run").select(*by, (F.col("nrows") + 5 - F.col("j")).cast("int").alias("line_no"), "text")
+    fields = cells.select(*by).distinct().join(g, "run")
+    given = cells.groupBy(*by, "j").agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("_c"))
+    rows = fields.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1))).join(given, [*by, "j"], "left")
+    whole = F.transform(F.array_repeat(F.lit(str(nodata)), F.col("ncols")), lambda v, i: F.coalesce(F.element_at(F.map_from_entries("_c"), i), v))
+    texts = F.when(F.size("_c") == F.col("ncols"), F.transform("_c", lambda s: s["v"])).when(F.size("_c") >= 0, whole).otherwise(F.array_repeat(F.lit(str(nodata)), F.col("ncols")))
+    rows = rows.withColumn("text", F.array_join(texts, " ")).select(*by, (F.col("nrows") + 5 - F.col("j")).cast("int").alias("line_no"), "text")
     words = (("ncols", "ncols"), ("nrows", "nrows"), ("xllcorner", "xmin"), ("yllcorner", "ymin"), ("cellsize", "cellsize"))
     if dialect == "solver":
         words = (("ncols", "ncols"), ("nrows", "nrows"), ("xlower", "xmin"), ("ylower", "ymin"), ("cellsize", "cellsize"))
     pair = lambda k, v: F.concat_ws(" ", v, F.lit(k)) if dialect == "solver" else F.concat_ws(" ", F.lit(k), v)
     head = F.array(*[pair(k, F.col(c).cast("string")) for k, c in words], pair("nodata_value", F.lit(str(nodata))))
-    fields = cells.select(*by).distinct().join(g, "run").select(*by, F.posexplode(head).alias("line_no", "text"))
-    return fields.unionByName(rows)
+    return fields.select(*by, F.posexplode(head).alias("line_no", "text")).unionByName(rows)
 
 
 def export_raster_text(cells: DataFrame, grids: DataFrame, path: str, nodata: float = -9999.0, dialect: str = "esri") -> None:

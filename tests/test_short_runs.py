@@ -32,6 +32,7 @@ scan_frames
 scan_frames_text
 scan_patch_cells_binary
 scan_patches_binary
+scan_raster_grids
 """.split()
 
 
