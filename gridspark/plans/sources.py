@@ -33,7 +33,9 @@ num = lambda *c: F.concat_ws(" ", *[(F.col(x) if isinstance(x, str) else x).cast
 @query("scan_raster_text", "select * from cells")
 def _(fx):
     path = scratch(fx, "raster")
-    sinks.export_raster_text(fx.cells, fx.grids, path)
+    # Each raster is as high as its run's rows reach.
+    own = fx.grids.drop("nrows").join(fx.cells.groupBy("run").agg((F.max("j") + 1).alias("nrows")), "run")
+    sinks.export_raster_text(fx.cells, own, path)
     return text.scan_raster_text(fx.spark, path, "*.txt", by_folder=True)[0]
 
 

@@ -33,6 +33,7 @@ scan_frames_text
 scan_patch_cells_binary
 scan_patches_binary
 scan_raster_grids
+scan_raster_text
 """.split()
 
 
