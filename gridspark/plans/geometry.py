@@ -233,11 +233,11 @@ AVERAGE_SQL = """tg as (select unnest(generate_series(0,16)) as ti), tgy as (sel
 sub as (select ti, tj, 1.0e0+ti*3.5e0+(a+0.5e0)*0.25 as px, 1.0e0+tj*2.5e0+(b+0.5e0)*0.25 as py from tg cross join tgy cross join sx cross join sy),
 pick as (select sub.*, g.patch, (px-g.x0)/g.d as fx, (py-g.y0)/g.d as fy from sub join (values (1,0.5e0,0.5e0,1e0),(2,16.25e0,10.25e0,0.5e0)) g(patch,x0,y0,d)
  on (g.patch=2 and px between 16.25 and 47.75 and py between 10.25 and 34.75) or (g.patch=1 and px between 0.5 and 63.5 and py between 0.5 and 49.5 and not (px between 16.25 and 47.75 and py between 10.25 and 34.75))),
-v as (select c.run, c.frame, ti, tj, px, py, sum(h*(case when c.i=floor(fx) then 1-(fx-floor(fx)) else fx-floor(fx) end)*(case when c.j=floor(fy) then 1-(fy-floor(fy)) else fy-floor(fy) end)) as z
- from pick join patch_cells c on c.patch=pick.patch and c.i in (floor(fx),floor(fx)+1) and c.j in (floor(fy),floor(fy)+1) group by all)"""
+w as (select c.run, c.frame, ti, tj, h, (case when c.i=floor(fx) then 1-(fx-floor(fx)) else fx-floor(fx) end)*(case when c.j=floor(fy) then 1-(fy-floor(fy)) else fy-floor(fy) end) as w
+ from pick join patch_cells c on c.patch=pick.patch and c.i in (floor(fx),floor(fx)+1) and c.j in (floor(fy),floor(fy)+1))"""
 
 
-@query("cell_average", "with " + AVERAGE_SQL + " select run, frame, cast(ti as int) as i, cast(tj as int) as j, round(avg(z),9) as mean, true as covered from v group by all")
+@query("cell_average", "with " + AVERAGE_SQL + " select run, frame, cast(ti as int) as i, cast(tj as int) as j, round(sum(w*h)/sum(w),9) as mean, abs(sum(w)/140-1)<=1e-9 as covered from w group by run, frame, ti, tj")
 def _(fx):
     nodes = fx.patch_cells.select("run", "frame", F.col("patch").alias("source"), "i", "j", F.col("h").alias("z"))
     geo = fx.patches.select(

@@ -35,6 +35,7 @@ scan_patches_binary
 scan_raster_grids
 scan_raster_text
 boundary_flux
+cell_average
 """.split()
 
 
