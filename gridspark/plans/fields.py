@@ -8,19 +8,20 @@ from gridspark.operators import filters as P
 from gridspark.plans.registry import query
 
 
-def grad_sql(src: str, z: str, by: str, order: int = 1, last_i: int = 63, last_j: int = 49) -> str:
-    """Oracle text of `gradient` on unit spacing."""
+def grad_sql(src: str, z: str, by: str, order: int = 1) -> str:
+    """Oracle text of `gradient` on unit spacing: a missing neighbour row is an edge, wherever it lies."""
 
-    def one(axis: str, across: str, last: int) -> str:
+    def one(axis: str, across: str) -> str:
         w = f"over (partition by {by}, {across} order by {axis})"
         lead, lag = f"lead({z}) {w}", f"lag({z}) {w}"
+        there = lambda way, k: f"{way}({axis},{k}) {w}={axis}{'+' if way == 'lead' else '-'}{k}"
         first, end = f"{lead}-{z}", f"{z}-{lag}"
         if order == 2:
-            first = f"(-3*{z}+4*{lead}-lead({z},2) {w})/2"
-            end = f"(3*{z}-4*{lag}+lag({z},2) {w})/2"
-        return f"case when {axis}=0 then {first} when {axis}={last} then {end} else ({lead}-{lag})/2 end"
+            first = f"case when {there('lead', 2)} then (-3*{z}+4*{lead}-lead({z},2) {w})/2 else {first} end"
+            end = f"case when {there('lag', 2)} then (3*{z}-4*{lag}+lag({z},2) {w})/2 else {end} end"
+        return f"case when {there('lag', 1)} and {there('lead', 1)} then ({lead}-{lag})/2 when {there('lead', 1)} then {first} when {there('lag', 1)} then {end} end"
 
-    return f"select *, {one('i', 'j', last_i)} as {z}_x, {one('j', 'i', last_j)} as {z}_y from {src}"
+    return f"select *, {one('i', 'j')} as {z}_x, {one('j', 'i')} as {z}_y from {src}"
 
 
 @query("gradient", "select run, i, j, z_x, z_y from (" + grad_sql("cells", "z", "run") + ")")

@@ -37,6 +37,7 @@ scan_raster_text
 boundary_flux
 cell_average
 deep_water_check
+gradient
 """.split()
 
 
