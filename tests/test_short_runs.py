@@ -38,6 +38,8 @@ boundary_flux
 cell_average
 deep_water_check
 gradient
+flagship
+tangent_speed
 """.split()
 
 
