@@ -40,6 +40,7 @@ deep_water_check
 gradient
 flagship
 tangent_speed
+gradient_second_order
 """.split()
 
 
