@@ -41,6 +41,7 @@ gradient
 flagship
 tangent_speed
 gradient_second_order
+slope_terms
 """.split()
 
 
