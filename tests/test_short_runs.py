@@ -42,6 +42,7 @@ flagship
 tangent_speed
 gradient_second_order
 slope_terms
+normal_vertical
 """.split()
 
 
