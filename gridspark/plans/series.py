@@ -255,7 +255,7 @@ def _(fx):
 def _(fx):
     k, s = F.col("p_partkey"), F.col("p_size")
     name = F.concat(F.lit("sim_"), F.when(s % 2 == 0, F.concat(F.lit("null_mod"), k.cast("string"))).otherwise(k.cast("string")), F.lit(".asc"))
-    file = F.when(s % 3 == 0, F.concat(F.lit("fgout0001.q"), F.lpad(k.cast("string"), 6, "0"))).otherwise(F.concat(F.lit("fort.amr"), k.cast("string")))
+    file = F.when(s % 3 == 0, F.concat(F.lit("fgout0001.q"), F.format_string("%06d", k))).otherwise(F.concat(F.lit("fort.amr"), k.cast("string")))
     return fx.table("part").select(k, B.model_from_filename(name).alias("model"), B.frame_from_filename(file).alias("frame"))
 
 

@@ -43,6 +43,7 @@ tangent_speed
 gradient_second_order
 slope_terms
 normal_vertical
+names_from_files
 """.split()
 
 
