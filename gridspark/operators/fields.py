@@ -252,12 +252,13 @@ def nodal_midpoints(cells: DataFrame, grids: DataFrame) -> DataFrame:
     g = grids.select("run", "ncols", "nrows", F.col("xmin").alias("_x0"), F.col("ymin").alias("_y0"), F.col("cellsize").alias("_d"))
     out = cells.join(g, "run").withColumn("_a", shares("i", "ncols")).withColumn("_b", shares("j", "nrows"))
     out = out.select("run", "_x0", "_y0", "_d", F.col("_a.k").alias("i"), F.col("_b.k").alias("j"),
-                     (F.col("z") * F.col("_a.w") * F.col("_b.w")).alias("_z"))
+                     (F.col("_a.w") * F.col("_b.w")).alias("_w"), "z")
     return (
         out.groupBy("run", "i", "j")
         .agg(
             F.min("_x0").alias("_x0"), F.min("_y0").alias("_y0"), F.min("_d").alias("_d"),
-            F.when(F.count("_z") == F.count("*"), F.sum("_z")).alias("z"),
+            # A whole node has shares of one in all; a cell that is not there leaves a part of it out.
+            F.when(F.sum(F.when(F.col("z").isNotNull(), F.col("_w"))) == 1, F.sum(F.col("z") * F.col("_w"))).alias("z"),
         )
         .select(
             "run", "i", "j", (F.col("_x0") + F.col("i") * F.col("_d") / 2).alias("x"),

@@ -141,9 +141,9 @@ def _(fx):
     return O.edge_halo(fx.cells, fx.grids)
 
 
-@query("nodal_midpoints", """with a as (select run, j, k.k as k, avg(z) as z, count(*) c, count(z) n from cells c, (select unnest(generate_series(0,128)) as k) k
+@query("nodal_midpoints", """with a as (select run, j, k.k as k, avg(z) as z, least(63, floor(k.k/2.0))-greatest(0, floor((k.k-1)/2.0))+1 as c, count(z) n from cells c, (select unnest(generate_series(0,128)) as k) k
  where c.i between greatest(0, floor((k.k-1)/2.0)) and least(63, floor(k.k/2.0)) group by run, j, k.k),
-b as (select run, k as i, l.l as j, avg(z) as z, min(n=c) as full1, count(z) n2, count(*) c2 from a, (select unnest(generate_series(0,100)) as l) l
+b as (select run, k as i, l.l as j, avg(z) as z, min(n=c) as full1, count(z) n2, least(49, floor(l.l/2.0))-greatest(0, floor((l.l-1)/2.0))+1 as c2 from a, (select unnest(generate_series(0,100)) as l) l
  where a.j between greatest(0, floor((l.l-1)/2.0)) and least(49, floor(l.l/2.0)) group by run, k, l.l)
 select run, cast(i as int) as i, cast(j as int) as j, i*0.5e0 as x, j*0.5e0 as y, case when full1 and n2=c2 then z end as z from b""")
 def _(fx):

@@ -44,6 +44,7 @@ gradient_second_order
 slope_terms
 normal_vertical
 names_from_files
+nodal_midpoints
 """.split()
 
 
