@@ -341,7 +341,8 @@ def _(fx):
     return tidy(out, "lon", "lat", "vmax", "pmin", "cls", "event")
 
 
-@query("scan_tracks_jma", """select lpad(cast(storm as varchar),4,'0') as storm, timestamp '2024-01-01'+to_hours(row_no) as ts, round(round(abs(lon)*10)/10,6) as lon, round(round(abs(lat)*10)/10,6) as lat, round(case when vmax<>0 then vmax*0.51444444 end,6) as vmax, round(mslp*100,6) as pmin, '2' as cls from tracks""")
+# Years of this deck have two digits, which stand for 1951 to 2050.
+@query("scan_tracks_jma", """select lpad(cast(storm as varchar),4,'0') as storm, tm-to_years(cast(100*((year(tm)-1951)//100) as int)) as ts, round(round(abs(lon)*10)/10,6) as lon, round(round(abs(lat)*10)/10,6) as lat, round(case when vmax<>0 then vmax*0.51444444 end,6) as vmax, round(mslp*100,6) as pmin, '2' as cls from tracks cross join lateral (select timestamp '2024-01-01'+to_hours(row_no) as tm) y""")
 def _(fx):
     ten = lambda c: F.round(F.abs(F.col(c)) * 10).cast("int").cast("string")
     f = F.concat_ws(" ", stamp("yyMMddHH"), F.lit("002"), F.lit("2"), ten("lat"), ten("lon"), F.col("mslp").cast("int").cast("string"), F.lpad(F.col("vmax").cast("int").cast("string"), 3, "0"))

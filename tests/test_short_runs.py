@@ -45,6 +45,7 @@ slope_terms
 normal_vertical
 names_from_files
 nodal_midpoints
+scan_tracks_jma
 """.split()
 
 
