@@ -47,7 +47,7 @@ def _(fx):
 
 PROFILE_SQL = """ps as (select unnest(generate_series(0,40)) as k), pp as (select cast(k as int) as k, 2.5+k*1.25e0 as x, 1.5+k*1.0e0 as y from ps),
 pq as (select *, floor(x-0.5) as a, floor(y-0.5) as b from pp),
-pv as (select f.run, f.frame, q.k, sum(f.h*(case when f.i=a then 1-(x2-0.5-a) else x2-0.5-a end)*(case when f.j=b then 1-(y2-0.5-b) else y2-0.5-b end)) as h from (select k, x as x2, y as y2, a, b from pq) q join (select run, frame, i, j, h from frames) f on f.i in (a,a+1) and f.j in (b,b+1) group by all)"""
+pv as (select f.run, f.frame, q.k, case when count(f.h)=4 then sum(f.h*(case when f.i=a then 1-(x2-0.5-a) else x2-0.5-a end)*(case when f.j=b then 1-(y2-0.5-b) else y2-0.5-b end)) end as h from (select k, x as x2, y as y2, a, b from pq) q join (select run, frame, i, j, h from frames) f on f.i in (a,a+1) and f.j in (b,b+1) group by all)"""
 
 
 @query("historical_max_profile", "with " + PROFILE_SQL + " select run, k, max(h) as h from pv where frame<=6 group by all")

@@ -46,6 +46,7 @@ normal_vertical
 names_from_files
 nodal_midpoints
 scan_tracks_jma
+historical_max_profile
 """.split()
 
 
