@@ -166,19 +166,26 @@ def overlapping(domains: DataFrame, runs: DataFrame, bin_size: float) -> DataFra
 
     Rectangles are spread over square bins, joined by bin, and a pair is kept only
     in the bin of its shared lower-left corner, so no pair appears twice. An empty
-    CRS agrees with any.
+    CRS agrees with any. Equal rectangles are compared once; their names join the
+    pairs that were found.
     """
 
-    def spread(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(
-            F.col(name), F.upper(F.trim(F.coalesce("crs", F.lit("")))).alias(f"{name}_crs"),
-            *[F.col(c).alias(f"{name}_{c}") for c in ("xmin", "xmax", "ymin", "ymax")],
+    sides = ("crs", "xmin", "xmax", "ymin", "ymax")
+    shape = lambda name: [f"{name}_{c}" for c in sides]
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.select(
+            F.col(name), F.upper(F.trim(F.coalesce("crs", F.lit("")))).alias(f"{name}_crs"), *[F.col(c).alias(f"{name}_{c}") for c in sides[1:]]
         )
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        df = df.select(*shape(name)).distinct()
         for a in "xy":
             lo, hi = (to_int(F.col(f"{name}_{a}{e}") / bin_size) for e in ("min", "max"))
             df = df.withColumn(f"_b{a}", F.explode(F.sequence(lo, hi)))
         return df
 
+    domains, runs = named(domains, "domain"), named(runs, "run")
     a, b = spread(domains, "domain"), spread(runs, "run")
     d = lambda c: F.col(f"domain_{c}")
     r = lambda c: F.col(f"run_{c}")
@@ -187,7 +194,8 @@ def overlapping(domains: DataFrame, runs: DataFrame, bin_size: float) -> DataFra
     )
     meet = (d("xmax") > r("xmin")) & (d("xmin") < r("xmax")) & (d("ymax") > r("ymin")) & (d("ymin") < r("ymax"))
     same = (d("crs") == r("crs")) | (d("crs") == "") | (r("crs") == "")
-    return a.join(b, ["_bx", "_by"]).where(home & meet & same).select("domain", "run")
+    pairs = a.join(b, ["_bx", "_by"]).where(home & meet & same).select(*shape("domain"), *shape("run"))
+    return domains.join(pairs, shape("domain")).join(runs, shape("run")).select("domain", "run")
 
 
 def wet_mask(frames: DataFrame, wet: float = schema.WET_DEPTH, vel: float = schema.VELOCITY_DEPTH) -> DataFrame:
