@@ -142,7 +142,8 @@ def _(fx):
     e.select("event_id", t.alias("t"), "batch").coalesce(1).sortWithinPartitions("batch").write.partitionBy("batch").parquet(f"{base}/in")
     with counting_late_rows(fx.spark, f"{base}/late") as late:
         stream = with_event_time(read_cells(fx.spark, f"{base}/in", "event_id bigint, t double, batch int", 1), f"{2 * int(width)} seconds", ORIGIN)
-        run_available(stream.dropDuplicatesWithinWatermark(["event_id"]), f"{base}/out", f"{base}/state", late=late)
+        # State holds a few arrivals: as many partitions as one of them fills.
+        run_available(stream.dropDuplicatesWithinWatermark(["event_id"]), f"{base}/out", f"{base}/state", late=late, partitions=max(4, int(width) // 20_000))
     return late_rows(fx.spark, f"{base}/late").drop("query")
 
 

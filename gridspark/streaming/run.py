@@ -114,16 +114,25 @@ def late_rows(spark, path: str) -> DataFrame:
     return rows.groupBy("query", "batch", "operator").agg(F.max("late").alias("late")).groupBy("query", "batch").agg(F.sum("late").alias("late"))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", late: LateRows | None = None):
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", late: LateRows | None = None, partitions: int | None = None):
     """Process what is there into `path`/batch=N folders; `late` gets the counts of late rows.
 
-    A repeated batch replaces its own folder, so results survive restarts unchanged.
+    A repeated batch replaces its own folder, so results survive restarts unchanged. Every batch commits each state
+    partition: a stream of many small arrivals wants few `partitions`, which it keeps from its first start on.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    if partitions:
+        conf.set(key, str(partitions))
+    try:
+        # A stream runs in a copy of the session as it is at its start.
+        query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
     if late:
         late.wait(query)
