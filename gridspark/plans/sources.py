@@ -27,6 +27,20 @@ def put_lines(df, path: str, *order: str):
     return path
 
 
+def put_markers(df, path: str):
+    """Write (run, text) as one small file per run. Each task writes its files in place: a committer would move them one by one."""
+
+    def write(parts):
+        for pdf in parts:
+            for run, content in zip(pdf["run"], pdf["text"]):
+                put(f"{path}/run={run}/run.txt", (content + "\n").encode())
+            yield pdf[["run"]].head(0)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, "run").mapInPandas(write, "run string").count()
+    return path
+
+
 num = lambda *c: F.concat_ws(" ", *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in c])
 
 
@@ -144,9 +158,7 @@ def _(fx):
     s = F.col("p_size")
     good = F.to_json(F.struct(F.when(s % 4 == 0, "completed").otherwise("failed").alias("status"), F.col("p_brand").alias("crs"), (s * 10.0).alias("rho")))
     raw = fx.table("part").select(F.col("p_partkey").cast("string").alias("run"), F.when(s % 4 == 1, "{broken").when(s % 4 == 2, "[]").otherwise(good).alias("text"))
-    # One small marker file per run.
-    path = scratch(fx, "runs")
-    raw.repartition(8, "run").write.partitionBy("run").text(path)
+    path = put_markers(raw, scratch(fx, "runs"))
     return text.scan_runs(fx.spark, path, "*.txt").select("run", "status", "crs", "rho")
 
 
