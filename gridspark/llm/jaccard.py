@@ -4,9 +4,10 @@ Shingles are counted first, over all texts, so that every set can be put in one
 frequent ones. Texts with equal sets are one class before anything is compared. Two sets that reach the similarity must
 share one of their first shingles in that order (prefix of n - ceil(t n) + 1), so only classes that share such a key
 meet; a passage that many texts share stays behind the prefixes of all texts that are more than this passage. Every
-class of a key is first compared with the key's smallest one; what is then connected needs no further comparison. The
-rest meets in tiles (key, size band): classes that are not connected with the key's smallest one meet those of their own
-and the next bands. Bitmaps bound the overlap from above, and what passes is decided by the sorted shingle arrays.
+class of a key is first compared with the key's first one, which has the key earliest in its order; what is then connected
+needs no further comparison. The rest meets in tiles (key, size band): classes that are not connected with the key's first
+one meet those of the sizes that the key's places in both sets leave possible. Bitmaps bound the overlap from above, and
+what passes is decided by the sorted shingle arrays.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BLOCK, GROUP = 1 << 20, 1 << 20
 SELDOM, FREQUENT = 16, 1 << 20
 #: Power of two of the texts from which on a shingle is shared without asking.
 SHARED = 12
+#: Ratio of the sizes that meet in one tile.
+BAND = 1.1
 #: Widest bitmap in bits; narrower ones have about twice as many bits as the set has shingles.
 WIDEST = 4096
 
@@ -220,29 +223,29 @@ def possible(na, nb, bits, reach: int):
     return (100 + reach) * (na + nb - bits) >= 2 * reach * (na + nb)
 
 
-def prefix_rest(n: Column, reach: int) -> Column:
-    """Shingles behind the prefix."""
-    return F.ceil(n * reach / 100) - 1
-
-
 def tile_pairs(rows: DataFrame, reach: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of classes of different labels that share enough keys for the similarity.
-
-    `rows` has key, id, n, label and main, the label of the key's smallest class. Bands are as wide as sizes may differ,
-    so a residual class (not labelled main) goes to the tiles of its own and both next bands, and meets all of a tile's
-    classes; two of the main label never meet. The overlap of two sets is at most the keys that they share in their
-    prefixes and what stands behind one of those."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / reach)).cast("int")
-    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "n", "label")]
-    there = rows.select("key", band.alias("band"), *side("2"), (F.col("label") == F.col("main")).alias("joined"))
-    here = rows.where("label <> main").select("key", F.explode(F.sequence(band - 1, band + 1)).alias("band"), *side("1"))
+    """Pairs (a, b, na, nb) of classes of different labels that can reach the similarity by the place of a key that they share.
+
+    `rows` has key, id, n, at (the key's place in the set, from 0), label and main, the label of the key's first class. At
+    the first key that two sets share, their overlap is at most what either has from there on; so a residual class (not
+    labelled main) goes to the bands of the sizes that its place allows, and meets the classes of these sizes whose place
+    allows its own; two of the main label never meet. Every pair that reaches the similarity passes at its first key."""
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    least, most = F.expr(f"cast(({reach}L * n + 99) div 100 as int)"), F.expr(f"cast(({100 + reach}L * (n - at) - {reach}L * n) div {reach} as int)")
+    most = F.least(most, F.expr(f"cast(100L * n div {reach} as int)"))
+    side = lambda x: [F.col(c).alias(c + x) for c in ("id", "n", "at", "label")]
+    there = rows.select("key", band(F.col("n")).alias("band"), *side("2"), (F.col("label") == F.col("main")).alias("joined"))
+    here = rows.where("label <> main").select("key", F.explode(F.sequence(band(least), band(F.greatest(least, most)))).alias("band"), *side("1"))
     met = here.join(there, ["key", "band"]).where((F.col("label1") != F.col("label2")) & (F.col("joined") | (F.col("id1") < F.col("id2"))))
-    met = met.where(100 * F.least("n1", "n2") >= reach * F.greatest("n1", "n2"))
+    met = met.where(reachable(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), reach))
     first = F.col("id1") < F.col("id2")
     ordered = lambda c, x, y: F.when(first, F.col(c + x)).otherwise(F.col(c + y))
-    counted = met.groupBy(ordered("id", "1", "2").alias("a"), ordered("id", "2", "1").alias("b"), ordered("n", "1", "2").alias("na"), ordered("n", "2", "1").alias("nb")).agg(F.count("*").alias("shared"))
-    most = F.col("shared") + F.greatest(prefix_rest(F.col("na"), reach), prefix_rest(F.col("nb"), reach))
-    return counted.where((100 + reach) * most >= reach * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    return met.select(ordered("id", "1", "2").alias("a"), ordered("id", "2", "1").alias("b"), ordered("n", "1", "2").alias("na"), ordered("n", "2", "1").alias("nb")).distinct()
+
+
+def reachable(n: Column, at: Column, m: Column, to: Column, reach: int) -> Column:
+    """Whether sets of sizes n and m whose first common shingle has these places (from 0) can reach the similarity."""
+    return (100 + reach) * F.least(n - at, m - to).cast("long") >= reach * (n + m).cast("long")
 
 
 def confirmed(kept: Kept, pairs: DataFrame, texts: DataFrame, sizes: DataFrame, reach: int, size: int) -> DataFrame:
@@ -291,23 +294,24 @@ def jaccard_join(
     kept.drop(sets)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     # A key that one class has alone meets nothing. The order knows many keys as shared; those stay where they are.
-    keys = lambda part: meta.select(F.explode(part).alias("key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"))
-    asked = keys(F.slice("prefix", F.lit(1), F.col("seldom"))).repartition("key")
+    # A row of a key tells its place in the set.
+    placed = meta.select(F.posexplode("prefix").alias("at", "key"), F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "seldom")
+    asked = placed.where("at < seldom").drop("seldom").repartition("key")
     shared = asked.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    rows = kept.write(asked.join(shared, "key").unionByName(keys(F.slice("prefix", F.col("seldom") + 1, F.size("prefix")))))
+    rows = kept.write(asked.join(shared, "key").unionByName(placed.where("at >= seldom").drop("seldom")))
     sizes = kept.write(meta.select("doc_id", "n", "bitmap"))
     kept.drop(meta)
 
-    # First the smallest class of every key against the others of the key.
-    low = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
-    star = rows.join(low, "key").where("a <> id").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
-    star = star.where(100 * F.least("na", "nb") >= reach * F.greatest("na", "nb")).distinct()
+    # First the class that has a key earliest, which is least altered where many are alike, against the others of the key.
+    low = rows.groupBy("key").agg(F.min(F.struct("at", "id", "n")).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.at").alias("first"))
+    star = rows.join(low, "key").where("a <> id").where(reachable(F.col("na"), F.col("first"), F.col("n"), F.col("at"), reach))
+    star = star.select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).distinct()
     stars = confirmed(kept, star, texts, sizes, reach, size)
     roots = kept.write(components(kept, stars))
 
     # Then all that is not connected yet, tile by tile.
     named = rows.join(roots, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    main = named.groupBy("key").agg(F.min(F.struct("id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    main = named.groupBy("key").agg(F.min(F.struct("at", "id", "label"))["label"].alias("main"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     apart = named.join(main.select("key", "main"), "key")
     links = stars.unionAll(confirmed(kept, tile_pairs(apart, reach), texts, sizes, reach, size))
     kept.drop(rows, sizes)
