@@ -1,20 +1,11 @@
 """Rows that meet in the tiles of the similarity join."""
 
+from plan_rows import joined_rows
 from pyspark.sql import functions as F
 
 from gridspark.llm import jaccard
 
 
-def joined_rows(plan) -> int:
-    """Rows that all joins of an executed plan made."""
-    if plan.nodeName() == "AdaptiveSparkPlan":
-        return joined_rows(plan.executedPlan())
-    if plan.nodeName().endswith("QueryStage"):
-        return joined_rows(plan.plan())
-    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
-    return own + sum(joined_rows(plan.children().apply(k)) for k in range(plan.children().size()))
-
-
 def test_altered_copies_do_not_meet_in_pairs(spark):
     """200 sets of 100 shingles, each with 13 of its own before 8 that all share, cannot reach four fifths."""
     rows = spark.range(200).select(F.col("id"), F.lit(100).alias("n"), F.posexplode(F.sequence(F.lit(13), F.lit(20))).alias("k", "at"))
