@@ -7,15 +7,16 @@ systems, which know local and shared paths and the usual stores by their URI.
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,6 +45,55 @@ def put(uri: str, content: bytes) -> None:
         out.write(content)
 
 
+def escaped(value: str) -> str:
+    """A value as part of a folder's name, as Spark's partition discovery reads it."""
+    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def put_files(
+    df: DataFrame, path: str, by: str, file: Column, order: Sequence[str], values: Sequence[str], encode: Callable[[pa.RecordBatch], bytes], header: str = ""
+) -> None:
+    """Write rows (by, ..., values) as one file `path`/by=value/`file` for each value and file name, rows in order.
+
+    Each task writes its files in place, batch by batch: a committer would move them one by one at the end, and a call for
+    each file would cost more than its rows. A task that is repeated writes its files anew."""
+    system, root = located(path)
+    system.create_dir(root, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(path)
+        now, out = None, None
+        try:
+            for batch in batches:
+                keys = list(zip(batch["_by"].to_pylist(), batch["_file"].to_pylist()))
+                cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+                for at, to in zip([0, *cuts], [*cuts, len(keys)]):
+                    if at == to:
+                        continue
+                    if keys[at] != now:
+                        if out is not None:
+                            out.close()
+                        now = keys[at]
+                        folder = f"{root}/{by}={escaped(now[0]) if now[0] else '__HIVE_DEFAULT_PARTITION__'}"
+                        system.create_dir(folder, recursive=False)
+                        out = system.open_output_stream(f"{folder}/{now[1]}")
+                        out.write(header.encode())
+                    out.write(encode(batch.slice(at, to - at)))
+        finally:
+            if out is not None:
+                out.close()
+        yield from ()
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumns({"_by": F.col(by).cast("string"), "_file": file}).repartition(tasks, "_by", "_file")
+    rows.sortWithinPartitions("_by", "_file", *order).select("_by", "_file", *values).mapInArrow(write, "_by string").count()
+
+
+def put_text(df: DataFrame, path: str, by: str, file: Column, *order: str, header: str = "") -> None:
+    """Write lines (by, ..., text) as text files, see `put_files`."""
+    put_files(df, path, by, file, order, ["text"], lambda part: ("\n".join(part["text"].to_pylist()) + "\n").encode(), header)
+
+
 def listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(run, file, bytes) of the matching files below `path`; no content is read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import grain
 from gridspark.session import checkpoint_dir, configure
+from gridspark.sources.ranges import put_text
 
 
 def _files(df: DataFrame, by: list[str], *order) -> DataFrame:
@@ -168,7 +169,16 @@ def track_rows(tracks: DataFrame, offset: DataFrame | None = None, fill: Mapping
 
 def write_tracks(rows: DataFrame, path: str) -> None:
     """Native storm tables as CSV, one folder per storm in time order."""
-    _files(rows, ["storm"], "seconds").write.mode("overwrite").partitionBy("storm").option("header", True).csv(path)
+    configure(rows.sparkSession)
+    removed(rows.sparkSession, path)
+    cols = [c for c in rows.columns if c != "storm"]
+    put_text(rows.withColumn("text", F.to_csv(F.struct(*cols))), path, "storm", F.lit("track.csv"), "seconds", header=",".join(cols) + "\n")
+
+
+def removed(spark, path: str) -> None:
+    """Delete what is at `path`, which is written anew."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def union_metrics(*tables: DataFrame) -> DataFrame:
