@@ -13,7 +13,7 @@ from gridspark.plans.aggs import RATES_SQL, TIMING_SQL, face_samples, timing
 from gridspark.plans.registry import query
 from gridspark.session import checkpoint_dir
 from gridspark.sources import decks, frames, sinks, text
-from gridspark.sources.ranges import put
+from gridspark.sources.ranges import put, put_files, put_text
 
 
 def scratch(fx, name: str) -> str:
@@ -23,7 +23,7 @@ def scratch(fx, name: str) -> str:
 
 def put_lines(df, path: str, *order: str):
     """Write (run, ..., text) as one text file per run with its lines in order."""
-    df.repartition("run").sortWithinPartitions("run", *order).select("run", "text").write.partitionBy("run").text(path)
+    put_text(df, path, "run", F.lit("run.txt"), *order)
     return path
 
 
