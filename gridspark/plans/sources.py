@@ -191,14 +191,17 @@ def payloads(df, order, values, path: str, name, kind: str = "float64", ghosts:
     """Write each group (run, frame, name) of rows as one binary file, groups in parallel.
 
     With the `shape` (patches, rows, columns) of a file, cells that have no row are NaN, as are `ghosts` rings around each patch."""
+    if not shape:
+        encode = lambda part: np.column_stack([part[c].to_numpy(zero_copy_only=False) for c in values]).astype(kind).tobytes()
+        put_files(df, path, "run", name, order, values, encode)
+        return
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         q = pdf[values].to_numpy(kind)
-        if shape:
-            whole = np.full((*shape, len(values)), np.nan, kind)
-            whole[pdf["patch"].to_numpy() - 1, pdf["j"].to_numpy(), pdf["i"].to_numpy()] = q
-            q = np.pad(whole, ((0, 0), (ghosts, ghosts), (ghosts, ghosts), (0, 0)), constant_values=np.nan)
+        whole = np.full((*shape, len(values)), np.nan, kind)
+        whole[pdf["patch"].to_numpy() - 1, pdf["j"].to_numpy(), pdf["i"].to_numpy()] = q
+        q = np.pad(whole, ((0, 0), (ghosts, ghosts), (ghosts, ghosts), (0, 0)), constant_values=np.nan)
         put(f"{path}/run={pdf['run'].iloc[0]}/{pdf['name'].iloc[0]}", q.tobytes())
         return pdf[["run"]].head(1)
 
@@ -207,12 +210,7 @@ def payloads(df, order, values, path: str, name, kind: str = "float64", ghosts:
 
 def put_named(df, path: str):
     """Write lines (run, name, line_no, text) as files of these names, files in parallel."""
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        put(f"{path}/run={pdf['run'].iloc[0]}/{pdf['name'].iloc[0]}", ("\n".join(pdf.sort_values("line_no")["text"]) + "\n").encode())
-        return pdf[["run"]].head(1)
-
-    df.select("run", "name", "line_no", "text").groupBy("run", "name").applyInPandas(write, "run string").count()
+    put_text(df, path, "run", F.col("name"), "line_no")
     return path
 
 
