@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridspark import schema
 from gridspark.functions.keys import to_int
@@ -223,36 +224,36 @@ def gauge_sessions(series: DataFrame, gap: str) -> DataFrame:
     return out.where("n > 0").select("gauge", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "high")
 
 
-class _LogAlerts(StatefulProcessor):
-    """State of one log: the end of the text seen so far and the failures already told."""
+class _LogAlerts:
+    """State of one log: the end of the text seen so far and a bit for each failure already told."""
 
     #: Of the text seen, as much as can be the beginning of a failure text.
     KEEP = max(map(len, FAILURES)) - 1
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "text string, told array<string>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        text, told = self.tail.get() if self.tail.exists() else ("", [])
-        told, out = list(told), []
-        for seq, part in pd.concat(rows).sort_values("seq")[["seq", "text"]].itertuples(index=False):
-            text += part
-            for mark in FAILURES:
-                if mark not in told and mark in text:
-                    told.append(mark)
-                    out.append((key[0], int(seq), mark))
-            text = text[-self.KEEP:]
-        self.tail.update((text, told))
-        yield pd.DataFrame(out, columns=["run", "seq", "reason"])
-
-    def close(self) -> None:
-        pass
+    @staticmethod
+    def take(key, rows, state: GroupState) -> Iterator[pd.DataFrame]:
+        text, told = state.get if state.exists else ("", 0)
+        parts = [(part["seq"].to_numpy(), part["text"].to_numpy()) for part in rows]
+        seq, texts = parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts)]
+        out = []
+        for k in np.argsort(seq, kind="stable"):
+            text += texts[k]
+            for n, mark in enumerate(FAILURES):
+                if not told >> n & 1 and mark in text:
+                    told |= 1 << n
+                    out.append((key[0], int(seq[k]), mark))
+            text = text[-_LogAlerts.KEEP:]
+        state.update((text, told))
+        if out:
+            yield pd.DataFrame(out, columns=["run", "seq", "reason"])
 
 
 def stream_log_alerts(log: DataFrame) -> DataFrame:
-    """First occurrence of each failure text in growing logs (run, seq, text), also when cut between two reads."""
-    return use_state_store(log).select("run", "seq", "text").groupBy("run").transformWithStateInPandas(
-        _LogAlerts(), "run string, seq long, reason string", "Append", "None"
+    """First occurrence of each failure text in growing logs (run, seq, text), also when cut between two reads.
+
+    There may be many logs of few lines each: state and rows of many of them travel together, not by a call for each."""
+    return use_state_store(log).select("run", "seq", "text").groupBy("run").applyInPandasWithState(
+        _LogAlerts.take, "run string, seq long, reason string", "tail string, told int", "append", GroupStateTimeout.NoTimeout
     )
 
 
