@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 High-recall generators propose spans that may overlap. Format features (length, digits, separators, checksums) and
-context features (cue words before, what stands on either side) go to boosted trees, fitted on candidates whose
+context features (cue words before, what stands on either side) go to boosted trees, fitted on all candidates whose
 format can be checked: those that the strict patterns confirm against those that fail their checks, each also in a
 loose writing of its kind. A threshold calibrated on texts that fitted nothing selects the redactions; strict matches
 always stay.
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.llm.common import Kept
+
 #: Strict kinds in the order of the contract; a match that fails its check is dropped.
 KINDS = ("email", "ip", "card", "phone")
 STRICT = {
@@ -38,9 +41,10 @@ CUES = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "address", "server"),
     "card": ("card", "visa", "pay", "iban", "account"), "phone": ("phone", "tel", "call", "mobile", "fax"),
 }
-#: Candidates that the trees are fitted on, at most; precision that the threshold is set for.
-BOUND, PRECISION = 20_000, 0.98
-FEATURES = 15
+#: Precision that the threshold is set for, and the steps of scores that are looked at for it.
+PRECISION, STEPS = 0.98, 4096
+#: Features; a value that counts for all above it; what sums are counted in; tasks that send sums, at most.
+FEATURES, TOP, UNIT, PARTS = 15, 63, 1 << 26, 64
 
 
 def luhn(digits: str) -> bool:
@@ -188,77 +192,122 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
-    """The feature and threshold with the largest gain of the second-order objective."""
-    best, where = 0.0, (0, float("inf"))
-    for f in range(x.shape[1]):
-        for t in np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25), method="lower")) if len(x) else ():
-            r = x[:, f] > t
-            gr, hr = g[r].sum(), h[r].sum()
-            gl, hl = g.sum() - gr, h.sum() - hr
-            gain = gr * gr / (hr + 1) + gl * gl / (hl + 1) - g.sum() ** 2 / (h.sum() + 1)
-            if gain > best + 1e-9:
-                best, where = gain, (f, float(t))
-    return where
+def sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Trees, root: tuple[int, float] | None, edges: list[np.ndarray]) -> np.ndarray:
+    """Gradient and curvature of the loss by side of the root split, feature and bin, in whole UNITs; `n` times each row.
+
+    Bin k of a feature holds what is above k of its edges. Whole numbers add up to the same in any order."""
+    width = max(map(len, edges)) + 1
+    out = np.zeros((2 * len(edges) * width, 2), np.int64)
+    p = model.probability(x)
+    loss = np.column_stack([np.rint((y - p) * UNIT), np.rint(p * (1 - p) * UNIT)]).astype(np.int64) * n[:, None]
+    side = np.zeros(len(x), np.int64) if root is None else (x[:, root[0]] > root[1]).astype(np.int64)
+    for f, e in enumerate(edges):
+        np.add.at(out, (side * len(edges) + f) * width + np.searchsorted(e, x[:, f], side="left"), loss)
+    return out.reshape(2, len(edges), width, 2)
+
+
+def best_split(by_bin: np.ndarray, edges: list[np.ndarray]) -> tuple[tuple[int, float], list[np.ndarray]]:
+    """The feature and threshold with the largest gain of the second-order objective, and the sums on both sides."""
+    total = by_bin[0].sum(axis=0) / UNIT
+    best, where, sides = 1e-9, (0, float("inf")), [total, np.zeros(2)]
+    for f, e in enumerate(edges):
+        right = (by_bin[f].sum(axis=0) - np.cumsum(by_bin[f], axis=0))[:len(e)] / UNIT
+        left = total - right
+        gain = right[:, 0] ** 2 / (right[:, 1] + 1) + left[:, 0] ** 2 / (left[:, 1] + 1) - total[0] ** 2 / (total[1] + 1)
+        k = int(np.argmax(gain)) if len(e) else 0
+        if len(e) and gain[k] > best + 1e-9:
+            best, where, sides = gain[k], (f, float(e[k])), [left[k], right[k]]
+    return where, sides
+
+
+def grow(p0: float, added: Callable[[Trees, tuple[int, float] | None], np.ndarray], edges: list[np.ndarray], rounds: int, rate: float) -> Trees:
+    """Gradient boosting with logistic loss; `added` gives the `sums` over all rows for the trees so far and a root split."""
+    p0 = float(np.clip(p0, 0.01, 0.99))
+    model = Trees(float(np.log(p0 / (1 - p0))), [], 0.5)
+    for _ in range(rounds):
+        root, _ = best_split(added(model, None)[0], edges)
+        below = [best_split(side, edges) for side in added(model, root)]
+        leaves = [float(rate * g / (h + 1)) for _, sides in below for g, h in sides]
+        model.splits.append((root, below[0][0], below[1][0], tuple(leaves)))
+    return model
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.3) -> Trees:
-    """Gradient boosting with logistic loss on a bounded sample."""
-    p0 = np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99)
-    model = Trees(float(np.log(p0 / (1 - p0))), [], 0.5)
-    for _ in range(rounds if len(set(y)) == 2 else 0):
-        p = model.probability(x)
-        g, h = y - p, p * (1 - p)
-        root = best_split(x, g, h)
-        right = x[:, root[0]] > root[1]
-        below = [best_split(x[m], g[m], h[m]) for m in (~right, right)]
-        leaves = []
-        for side, m in zip(below, (~right, right)):
-            low = x[:, side[0]] > side[1]
-            leaves += [float(rate * g[m & k].sum() / (h[m & k].sum() + 1)) for k in (~low, low)]
-        model.splits.append((root, below[0], below[1], tuple(leaves)))
-    return model
+    """`grow` on rows at hand, with thresholds at quantiles."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25), method="lower")) if len(x) else np.zeros(0) for f in range(x.shape[1])]
+    once = np.ones(len(x), np.int64)
+    return grow(y.mean() if len(y) else 0.0, lambda model, root: sums(x, y, once, model, root, edges), edges, rounds if len(set(y)) == 2 else 0, rate)
 
 
-def fit(docs: DataFrame, text: str = "text", bound: int = BOUND) -> Trees:
-    """Fit the trees on at most `bound` candidates of each label, the first by a hash of the document's text.
+def examples(text: str) -> Iterator[tuple[int, bytes]]:
+    """(label, features as bytes, TOP at most) of a text's candidates that the trees are fitted on."""
+    good, bad = strict_spans(text)
+    loose = [s for s in candidates(text, good) if not any(s[1] < b and a < s[2] for _, a, b in good)]
+    wrong = [s for s in loose if features(text, s)[-1] or not holds(s[0], plain(s[0], text[s[1]:s[2]]))]
+    row = lambda t, s: bytes(min(int(v), TOP) for v in features(t, s))
+    for label, spans in ((1, good), (0, {*bad, *wrong})):
+        yield from ((label, row(text, s)) for s in spans)
+    for label, spans in ((1, good), (0, bad)):
+        for k, a, b in spans:
+            near, other = text[max(0, a - 40):a], loosely(k, text[a:b])
+            if other:
+                yield label, row(near + other + text[b:b + 2], (k, len(near), len(near) + len(other)))
+
+
+def fit(docs: DataFrame, text: str = "text", rounds: int = 30, rate: float = 0.3) -> Trees:
+    """Fit the trees on the candidates of all texts.
 
     Label 1: strict matches that hold. Label 0: strict matches that fail, and loose spans that overlap no match that
     holds and lie inside a longer word or number or fail the check of their kind. Strict matches of either label count
-    a second time in a loose writing in the same place, so that the writing alone decides nothing. A fifth of the texts
-    sets the threshold: the lowest score of a right candidate from which on candidates are right with PRECISION; without
-    such a score nothing is added."""
-    row = "array<struct<label:int,x:array<double>>>"
-
-    @F.arrow_udf(row)
-    def examples(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
-        for texts in parts:
-            out = []
-            for t in texts.to_pylist():
-                t = t or ""
-                good, bad = strict_spans(t)
-                loose = [s for s in candidates(t, good) if not any(s[1] < b and a < s[2] for _, a, b in good)]
-                wrong = [s for s in loose if features(t, s)[-1] or not holds(s[0], plain(s[0], t[s[1]:s[2]]))]
-                rows = [{"label": 1, "x": features(t, s)} for s in good] + [{"label": 0, "x": features(t, s)} for s in {*bad, *wrong}]
-                for label, spans in ((1, good), (0, bad)):
-                    for k, a, b in spans:
-                        near, other = t[max(0, a - 40):a], loosely(k, t[a:b])
-                        if other:
-                            rows.append({"label": label, "x": features(near + other + t[b:b + 2], (k, len(near), len(near) + len(other)))})
-                out.append(rows)
-            yield pa.array(out, kind)
-
-    found = docs.select(F.xxhash64(text).alias("_at"), F.explode(examples(F.col(text))).alias("e")).select("_at", "e.*")
-    order = [F.col("_at"), F.col("x").cast("string")]
-    sample = [r for label in (0, 1) for r in found.where(F.col("label") == label).orderBy(*order).limit(bound).collect()]
-    x = np.array([r["x"] for r in sample], float).reshape(len(sample), FEATURES)
-    y = np.array([r["label"] for r in sample], float)
-    test = np.array([r["_at"] % 5 == 0 for r in sample], bool)
-    model = boost(x[~test], y[~test])
-    p, truth = model.probability(x[test]), y[test]
-    steps = [t for t in np.unique(p[truth == 1]) if truth[p >= t].mean() >= PRECISION]
-    model.threshold = float(min(steps)) if steps and len(set(y)) == 2 else 2.0
+    a second time in a loose writing in the same place, so that the writing alone decides nothing. Equal candidates are
+    one row with their number; such a table is written once, and its tasks send sums by feature and value for each step of
+    a tree, whose size depends on neither texts nor candidates. A fifth of the texts sets the threshold: in the lowest of
+    STEPS equal ranges of scores that holds a right candidate and from which on candidates are right with PRECISION, the
+    lowest score of a right one; without such a range nothing is added."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = Counter((at, label, x) for at, t in zip(batch[0].to_pylist(), batch[1]) for label, x in examples(t.as_py() or ""))
+            at, label, x = zip(*seen) if seen else ((), (), ())
+            columns = [pa.array(at, pa.bool_()), pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(seen.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["test", "label", "x", "n"])
+
+    kept = Kept(docs.sparkSession)
+    some = docs.select((F.pmod(F.xxhash64(text), F.lit(5)) == 0).alias("test"), F.col(text)).mapInArrow(counted, "test boolean, label int, x binary, n bigint")
+    rows = kept.write(some.groupBy("test", "label", "x").agg(F.sum("n").alias("n")))
+    sizes = {(r["test"], r["label"]): r["n"] for r in rows.groupBy("test", "label").agg(F.sum("n").alias("n")).collect()}
+    right, wrong = (sizes.get((False, label), 0) for label in (1, 0))
+    # A task's sums are one row of fixed size, and there are PARTS of them at most.
+    train = rows.where("not test").select("label", "x", "n").coalesce(PARTS)
+    edges = [np.arange(TOP)] * FEATURES
+
+    def numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(batch["x"].to_pylist()), np.uint8).reshape(-1, FEATURES).astype(float)
+        return x, batch["label"].to_numpy().astype(float), batch["n"].to_numpy()
+
+    def added(model: Trees, root: tuple[int, float] | None) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((sums(*numbers(b), model, root, edges) for b in batches), np.zeros((2, FEATURES, TOP + 1, 2), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+        return sum(np.frombuffer(r["s"], np.int64).reshape(2, FEATURES, TOP + 1, 2) for r in train.mapInArrow(part, "s binary").collect())
+
+    model = grow(right / max(1, right + wrong), added, edges, rounds if right and wrong else 0, rate)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = numbers(b)
+            yield pa.RecordBatch.from_arrays([pa.array(model.probability(x)), pa.array(y == 1), pa.array(n)], ["p", "right", "n"])
+
+    steps = rows.where("test").select("label", "x", "n").mapInArrow(scored, "p double, right boolean, n bigint").groupBy(F.floor(F.col("p") * STEPS).alias("step")).agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("right"), F.col("n"))), F.lit(0)).alias("good"), F.min(F.when(F.col("right"), F.col("p"))).alias("low")
+    )
+    model.threshold, n, good = 2.0, 0, 0
+    for s in sorted(steps.collect(), key=lambda r: -r["step"]) if model.splits else []:
+        n, good = n + s["n"], good + s["good"]
+        if s["low"] is not None and good >= PRECISION * n:
+            model.threshold = s["low"]
+    kept.drop(rows)
     return model
 
 

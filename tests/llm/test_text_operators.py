@@ -359,6 +359,17 @@ def test_loose_writings_reach_the_trees(docs):
         assert not good and [(k, text[a:b]) for k, a, b in added] == ([want] if want else []), text
 
 
+def test_trees_learn_from_all_candidates(spark):
+    text = "case when id < 24000 then concat('mail u', id, '@x.org now') when id < 25000 then concat('host 10.1.', id % 200, '.', id % 250, ' is up') else concat('addr 999.1.1.', id, ' no') end"
+    made = spark.range(25300).selectExpr("id", f"{text} as text")
+    # Right addresses come after more than 20,000 other right candidates in the order of their texts' hashes.
+    docs = made.where("id >= 25000 or (id < 24000) = (xxhash64(text) < 0)").select("text")
+    assert docs.where("text like 'mail%'").count() > 10_000
+    model = pii.fit(docs)
+    assert pii.all_spans("host 192,168,10,1 is up", model)[1] == [("ip", 5, 17)]
+    assert pii.fit(docs.repartition(7)) == model
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, pii.FEATURES))
