@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,17 +20,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Kept
+from gridspark.llm.common import Kept, tidy
 
 CAPACITY, END = 4096, 1
 # Chunks that a Python worker remembers at most, apart from those of the texts at hand, and characters encoded in one go.
-CACHE, AT_ONCE = 600_000, 2_000_000
+CACHE, AT_ONCE = 300_000, 2_000_000
 # ASCII marks that end a word for the tokenizer wherever they follow a letter; an apostrophe may not.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Letters that stand for themselves once A-Z are lowered: no mark can join them, no other word begin between them.
+LETTERS = "[a-zß-öø-ÿ]"
 # Pieces that one numbering group holds on average.
 NUMBERED = 200_000
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of ids that begin at `starts`, those at these places, one after the other, and where each ends."""
+    first, size = starts[place], starts[place + 1] - starts[place]
+    ends = np.cumsum(size)
+    return ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
     """From texts to their ids as little-endian unsigned 32-bit bytes.
 
@@ -39,25 +49,25 @@ class Encoder:
     kind (word ends, lower case, white space dropped)."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # For words that need no normalizing and are not split: the same model without the patterns for that.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        spelled = self.words.get_vocab()
+        self.closing = np.zeros(max(spelled.values()) + 1, bool)
+        self.closing[[k for w, k in spelled.items() if w.endswith("</w>")]] = True
         # A chunk's place; by place, where its ids start in `ids`, and whether a later batch had it too.
         self.known: dict[str, int] = {}
         self.starts, self.ids, self.again = np.zeros(1, np.int64), np.zeros(0, "<u4"), np.zeros(0, bool)
 
-    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks at these places, one after the other, and where each ends."""
-        first, size = self.starts[place], self.starts[place + 1] - self.starts[place]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
-
     def forget(self) -> None:
         """Keep the chunks that came again since the last time."""
         place = np.flatnonzero(self.again)
         names = list(self.known)
         self.known = {names[p]: k for k, p in enumerate(place.tolist())}
-        self.ids, ends = self.gather(place)
+        self.ids, ends = gathered(self.ids, self.starts, place)
         self.starts, self.again = np.append(0, ends), np.zeros(len(place), bool)
 
     def whole(self, text: str) -> bytes:
@@ -74,31 +84,43 @@ class Encoder:
             cuts = (4 * np.searchsorted(starts, ends)).tolist()
             yield from map(ids.__getitem__, map(slice, [0, *cuts], cuts))
 
-    def places(self, chunks: list[str]) -> np.ndarray:
+    def plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks of LETTERS and closing marks, one after the other, and how many each has.
+
+        The letters are one word for the tokenizer and the marks another; a word's last token ends a word."""
+        stems = pc.ascii_rtrim(chunks, MARKS)
+        marked = pc.not_equal(pc.binary_length(stems), pc.binary_length(chunks))
+        marks = pc.replace_substring_regex(chunks.filter(marked), f"^{LETTERS}+", "")
+        words = pa.concat_arrays([stems, marks]).dictionary_encode()
+        ids = [np.array(self.words.encode_batch_fast([" ".join(words.dictionary[at:at + 20_000].to_numpy(zero_copy_only=False))], add_special_tokens=False)[0].ids, "<u4")
+               for at in range(0, len(words.dictionary), 20_000)]
+        ids = np.concatenate([*ids, np.zeros(0, "<u4")])
+        # The last place is empty, for chunks without marks.
+        starts = np.concatenate([[0], np.flatnonzero(self.closing[ids]) + 1, [len(ids)]])
+        spot = np.asarray(words.indices).astype(np.int64)
+        pair = np.full((len(chunks), 2), len(words.dictionary))
+        pair[:, 0] = spot[:len(chunks)]
+        pair[np.asarray(marked), 1] = spot[len(chunks):]
+        out, ends = gathered(ids, starts, pair.ravel())
+        return out, np.diff(ends[1::2], prepend=0)
+
+    def places(self, chunks: pa.Array) -> np.ndarray:
         """The place of each of these distinct chunks; new ones are encoded and get the next places."""
-        known = self.known
-        at = np.fromiter(map(known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        known, names = self.known, chunks.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(known.get, names, itertools.repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(at < 0)
         self.again[at[at >= 0]] = True
         if len(fresh):
-            new = list(map(chunks.__getitem__, fresh.tolist()))
-            halves, asked = {}, set()
-            for c in new:
-                stem = c.rstrip(MARKS)
-                if len(stem) < len(c) and stem[-1:].isascii() and stem[-1:].isalpha():
-                    halves[c] = stem
-                    asked.add(stem)
-                    asked.add(c[len(stem):])
-                else:
-                    asked.add(c)
-            asked = list(asked)
-            ids = dict(zip(asked, self.coded(asked)))
-            blobs = [ids[halves[c]] + ids[c[len(halves[c]):]] if c in halves else ids[c] for c in new]
-            at[fresh] = np.arange(len(known), len(known) + len(new))
-            known.update(zip(new, at[fresh].tolist()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), "<u4")])
-            self.again = np.append(self.again, np.zeros(len(new), bool))
+            simple = np.asarray(pc.match_substring_regex(chunks.take(pa.array(fresh)), f"^{LETTERS}+[{re.escape(MARKS)}]*$"))
+            fresh = np.concatenate([fresh[simple], fresh[~simple]])
+            ids, sizes = self.plain(chunks.take(pa.array(fresh[:simple.sum()])))
+            odd = list(self.coded([names[k] for k in fresh[simple.sum():].tolist()]))
+            sizes = np.concatenate([sizes, np.fromiter(map(len, odd), np.int64, len(odd)) // 4])
+            at[fresh] = np.arange(len(known), len(known) + len(fresh))
+            known.update(zip(map(names.__getitem__, fresh.tolist()), at[fresh].tolist()))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids, np.frombuffer(b"".join(odd), "<u4")])
+            self.again = np.append(self.again, np.zeros(len(fresh), bool))
         return at
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
@@ -109,8 +131,8 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = pc.list_flatten(split).dictionary_encode()
         # White space at an end of a text leaves an empty chunk there, which has no ids.
-        place = self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-        ids, ends = self.gather(place)
+        place = self.places(coded.dictionary)[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
+        ids, ends = gathered(self.ids, self.starts, place)
         cuts = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(split)))]
         # A special token's spelling is met only in the text as it stands.
         special = np.asarray(pc.match_substring(texts, "<|"))
@@ -140,6 +162,7 @@ def token_pieces(
     kind = "struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint" + (",ids:array<int>>" if with_ids else ">")
 
     @F.arrow_udf(f"array<{kind}>")
+    @tidy
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = Encoder(vocabulary)
         tail = np.array([end], "<u4").tobytes()

@@ -499,3 +499,17 @@ def test_encoder_forgets_and_meets_odd_space(monkeypatch):
     assert got == [encode.whole(t or "") for t in texts.to_pylist()]
     assert list(packing.encoded(encode, texts[7:])) == got[7:] and list(packing.encoded(encode, texts[:0])) == []
     assert len(encode.known) < 30
+
+
+def test_plain_words_pass_no_patterns():
+    encode = packing.Encoder(packing.default_vocabulary())
+    plain = ["naïve wörds, in-between? no: here; größer... the end!?", "THE End\t(of) straße \"so\" ÿ."]
+    odd = ["it's", "x² 12 ab12, 中文, 🙂 ab'", "e\u0301 É İx ab\u0301.", "<|endoftext|> a", "", "...", "a" * 300 + "!" * 300]
+    texts = [*plain, *odd, " ".join([*plain, *odd])]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encode(pa.array(texts))] == want
+    # Words of plain letters and closing marks need neither normalizing nor places in the text.
+    fresh = packing.Encoder(packing.default_vocabulary())
+    fresh.tokenizer = None
+    some = ["naïve wörds, größer... the end!?", "THE End\tstraße ÿ."]
+    assert [np.frombuffer(b, "<u4").tolist() for b in fresh(pa.array(some))] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
