@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridspark.llm.common import Kept, components, mixed, printed, tested, with_ids
+from gridspark.llm.common import Kept, components, mixed, printed, tested, tidy, with_ids
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
@@ -110,6 +110,7 @@ def frequent(kept: Kept, docs: DataFrame, size: int, text_col: str, least: int =
     ranges = max(6, int(volume // (4 * GROUP)).bit_length())
     shift, low = np.uint64(32 - ranges), np.uint64((1 << 32) - 1)
 
+    @tidy
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, some, held = Shingler(size), [], 0
 
@@ -161,6 +162,7 @@ def shingle_sets(docs: DataFrame, order: Order, size: int, reach: int, id_col: s
     names = ["n", "digest", "prefix", "seldom", "bitmap"]
 
     @F.arrow_udf("struct<n:bigint,digest:binary,prefix:array<bigint>,seldom:int,bitmap:binary>")
+    @tidy
     def take(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingle = Shingler(size)
         for texts in parts:
@@ -186,6 +188,7 @@ def shingle_arrays(docs: DataFrame, size: int, id_col: str, text_col: str) -> Da
     """(doc_id, shingles): the sorted 64-bit hashes as bytes."""
 
     @F.arrow_udf("binary")
+    @tidy
     def take(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingle = Shingler(size)
         for texts in parts:
@@ -195,27 +198,31 @@ def shingle_arrays(docs: DataFrame, size: int, id_col: str, text_col: str) -> Da
 
 
 @F.arrow_udf(LongType())
-def common(a: pa.Array, b: pa.Array) -> pa.Array:
+@tidy
+def common(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Size of the intersection of two sorted arrays without repeats."""
-    out = []
-    for x, y in zip(a, b):
-        p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        if len(p) > len(q):
-            p, q = q, p
-        at = np.searchsorted(q, p)
-        out.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
-    return pa.array(out, pa.int64())
+    for a, b in parts:
+        out = []
+        for x, y in zip(a, b):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            if len(p) > len(q):
+                p, q = q, p
+            at = np.searchsorted(q, p)
+            out.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
+        yield pa.array(out, pa.int64())
 
 
 @F.arrow_udf(LongType())
-def differing(a: pa.Array, b: pa.Array) -> pa.Array:
+@tidy
+def differing(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Bits in which two bitmaps differ at the narrower one's width: at most the size of the symmetric difference."""
-    out = []
-    for x, y in zip(a, b):
-        p, q = (np.frombuffer(v.as_buffer(), np.uint8)[None, :] for v in (x, y))
-        width = min(p.shape[1], q.shape[1])
-        out.append(int(np.bitwise_count(fold(p, width) ^ fold(q, width)).sum()))
-    return pa.array(out, pa.int64())
+    for a, b in parts:
+        out = []
+        for x, y in zip(a, b):
+            p, q = (np.frombuffer(v.as_buffer(), np.uint8)[None, :] for v in (x, y))
+            width = min(p.shape[1], q.shape[1])
+            out.append(int(np.bitwise_count(fold(p, width) ^ fold(q, width)).sum()))
+        yield pa.array(out, pa.int64())
 
 
 def possible(na, nb, bits, reach: int):

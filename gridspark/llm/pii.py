@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import Kept
+from gridspark.llm.common import Kept, tidy
 
 #: Strict kinds in the order of the contract; a match that fails its check is dropped.
 KINDS = ("email", "ip", "card", "phone")
@@ -265,6 +265,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 30, rate: float = 0.3
     STEPS equal ranges of scores that holds a right candidate and from which on candidates are right with PRECISION, the
     lowest score of a right one; without such a range nothing is added."""
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter((at, label, x) for at, t in zip(batch[0].to_pylist(), batch[1]) for label, x in examples(t.as_py() or ""))
@@ -294,6 +295,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 30, rate: float = 0.3
 
     model = grow(right / max(1, right + wrong), added, edges, rounds if right and wrong else 0, rate)
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y, n = numbers(b)
@@ -338,6 +340,7 @@ def found(text: str | Column, model: Trees) -> Column:
     ddl = "array<struct<kind:string,start:bigint,end:bigint>>"
 
     @F.arrow_udf(f"struct<base:{ddl},spans:{ddl}>")
+    @tidy
     def find(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         row = lambda spans: [dict(zip(("kind", "start", "end"), s)) for s in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))]
         for texts in parts:
@@ -352,6 +355,7 @@ def redacted(text: str | Column, model: Trees) -> Column:
     first. NULL stays NULL."""
 
     @F.arrow_udf("string")
+    @tidy
     def mask(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             out = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import alphanumeric, logistic, remainder, training_rows
+from gridspark.llm.common import alphanumeric, logistic, remainder, tidy, training_rows
 
 #: Model size: words fall into this many buckets by a hash; the counts and the model are of this size at any scale.
 BUCKETS = 1 << 18
@@ -100,6 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound
     scores are the rate of label 1 (a half without any label)."""
     rows = training_rows(docs, labels, "toxic", folds, held, bound)
 
+    @tidy
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In how many texts of each label a bucket occurs, one block per task."""
         held_counts = np.zeros((2, BUCKETS), np.int64)
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, bound
     kind = "struct<n:bigint,best:double,segments:array<struct<a:bigint,b:bigint,s:double>>>"
 
     @F.arrow_udf(kind)
+    @tidy
     def scan(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             out = []
@@ -160,6 +162,7 @@ def scored(text: str | Column, model: Model) -> Column:
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<score:double,p_value:double,passages:array<struct<start:bigint,end:bigint,score:double>>>")
+    @tidy
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         flat = not model.curve.any()
         for texts in parts:

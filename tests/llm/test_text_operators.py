@@ -513,3 +513,20 @@ def test_plain_words_pass_no_patterns():
     fresh.tokenizer = None
     some = ["naïve wörds, größer... the end!?", "THE End\tstraße ÿ."]
     assert [np.frombuffer(b, "<u4").tolist() for b in fresh(pa.array(some))] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_workers_hand_freed_memory_back():
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    def work(parts):
+        some = [bytes(2000) for _ in range(100_000)]
+        for k in parts:
+            yield k, held()
+        # A few of them stay and keep the heap from shrinking by itself.
+        kept.extend(some[::1000])
+
+    kept = []
+    before = held()
+    rows = list(common.tidy(work)(iter(range(3))))
+    assert [k for k, _ in rows] == [0, 1, 2] and rows[-1][1] > before + 150
+    assert held() < before + 80
