@@ -194,6 +194,9 @@ def shingle_arrays(docs: DataFrame, size: int, id_col: str, text_col: str) -> Da
         for texts in parts:
             yield pa.array([s.tobytes() for s in shingle(texts)], pa.binary())
 
+    # A filter on the result would else be taken below what picks the rows, where it needs the arrays of all texts and
+    # a second Python worker for every task.
+    take = take.asNondeterministic()
     return docs.select(F.col(id_col).alias("doc_id"), take(F.col(text_col)).alias("shingles"))
 
 

@@ -530,3 +530,28 @@ def test_workers_hand_freed_memory_back():
     rows = list(common.tidy(work)(iter(range(3))))
     assert [k for k, _ in rows] == [0, 1, 2] and rows[-1][1] > before + 150
     assert held() < before + 80
+
+
+def test_texts_pass_one_worker_of_a_task(docs, monkeypatch):
+    """No write plans two Python evaluations in one task: each would be a worker of its own that outlives it."""
+    plans, write = [], common.Kept.write
+
+    def seen(kept, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(kept, df)
+
+    monkeypatch.setattr(common.Kept, "write", seen)
+    jaccard.one_per_group(docs)
+    tasks = [part for p in plans for part in re.split(r"Exchange", p)]
+    assert max(t.count("ArrowEvalPython") for t in tasks) == 1
+
+
+def test_texts_are_read_in_small_batches(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(key, 4096)
+    common.table(spark, SF, "documents")
+    assert int(spark.conf.get(key)) == common.BATCH
+    spark.conf.set(key, 8)
+    common.table(spark, SF, "documents")
+    assert int(spark.conf.get(key)) == 8
+    spark.conf.unset(key)
