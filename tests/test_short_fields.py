@@ -26,6 +26,7 @@ def folder(tmp_path_factory):
 
 NAMES = """
 sample_nearest
+sample_bilinear
 """.split()
 
 
