@@ -27,6 +27,7 @@ def folder(tmp_path_factory):
 NAMES = """
 sample_nearest
 sample_bilinear
+sample_wet_bilinear
 """.split()
 
 
