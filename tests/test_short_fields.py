@@ -31,6 +31,7 @@ sample_wet_bilinear
 sample_finest
 sample_finest_nearest
 sampled_face_counts
+sampled_source_rates
 """.split()
 
 
