@@ -115,25 +115,34 @@ def _(fx):
 
 
 def _deform_head(fx):
-    v = ("64 mx", "50 my", "10 mt", "0.5 xlower", "0.5 ylower", "0.0 t0", "1.0 dx", "1.0 dy", "10.0 dt")
-    return fx.frames.select("run").distinct().select("run", F.posexplode(F.array(*[F.lit(x) for x in v])).alias("k", "text")).select(
+    v = ("64 mx", "50 my", None, "0.5 xlower", "0.5 ylower", "0.0 t0", "1.0 dx", "1.0 dy", "10.0 dt")
+    mt = F.concat((F.max("frame") + 1).cast("string"), F.lit(" mt"))
+    return fx.frames.groupBy("run").agg(F.array(*[F.lit(x) if x else mt for x in v]).alias("v")).select("run", F.posexplode("v").alias("k", "text")).select(
         "run", F.lit(-1).alias("frame"), F.col("k").alias("r"), F.lit(0).alias("i"), "text"
     )
 
 
+def _deform_values(fx):
+    """(run, frame, r, i, text), rows from the north; headers tell whole frames, so cells that have no row are written as nan."""
+    every = lambda c, last: F.explode(F.sequence(F.lit(0), last)).alias(c)
+    places = fx.frames.groupBy("run").agg(F.max("frame").alias("last")).select("run", every("frame", F.col("last")))
+    places = places.select("*", every("r", F.lit(49))).select("*", every("i", F.lit(63)))
+    there = fx.frames.select("run", "frame", (49 - F.col("j")).alias("r"), "i", F.col("hu").cast("string").alias("text"))
+    return places.join(there, ["run", "frame", "r", "i"], "left").withColumn("text", F.coalesce("text", F.lit("nan")))
+
+
 @query("scan_deform", "select run, t, i, j, x, y, hu as dz from frames")
 def _(fx):
-    row = F.transform(F.sort_array(F.collect_list(F.struct("i", "hu"))), lambda s: s["hu"].cast("string"))
-    rows = fx.frames.groupBy("run", "frame", (49 - F.col("j")).alias("r")).agg(F.lit(0).alias("i"), F.array_join(row, " ").alias("text"))
+    row = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda s: s["text"])
+    rows = _deform_values(fx).groupBy("run", "frame", "r").agg(F.lit(0).alias("i"), F.array_join(row, " ").alias("text"))
     path = put_lines(_deform_head(fx).unionByName(rows), scratch(fx, "deform"), "frame", "r")
-    return text.scan_deform(fx.spark, path, "*.txt", kind=3)
+    return text.scan_deform(fx.spark, path, "*.txt", kind=3).where("not isnan(dz)")
 
 
 @query("scan_deform_single_column", "select run, t, i, j, x, y, hu as dz from frames")
 def _(fx):
-    rows = fx.frames.select("run", "frame", (49 - F.col("j")).alias("r"), "i", F.col("hu").cast("string").alias("text"))
-    path = put_lines(_deform_head(fx).unionByName(rows), scratch(fx, "deform"), "frame", "r", "i")
-    return text.scan_deform(fx.spark, path, "*.txt", kind=2)
+    path = put_lines(_deform_head(fx).unionByName(_deform_values(fx)), scratch(fx, "deform"), "frame", "r", "i")
+    return text.scan_deform(fx.spark, path, "*.txt", kind=2).where("not isnan(dz)")
 
 
 @query("scan_deform_points", "select run, t, i, j, x, y, hu as dz from frames")

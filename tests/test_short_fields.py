@@ -32,6 +32,7 @@ sample_finest
 sample_finest_nearest
 sampled_face_counts
 sampled_source_rates
+scan_deform
 """.split()
 
 
