@@ -33,6 +33,7 @@ sample_finest_nearest
 sampled_face_counts
 sampled_source_rates
 scan_deform
+scan_deform_single_column
 """.split()
 
 
