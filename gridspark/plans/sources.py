@@ -41,6 +41,12 @@ def put_markers(df, path: str):
     return path
 
 
+def gauge_file(end: str):
+    """Name of a gauge's file: the id with five digits, or all of a longer one."""
+    k = F.col("gauge").cast("string")
+    return F.concat(F.lit("gauge"), F.lpad(k, F.greatest(F.length(k), F.lit(5)), F.lit("0")), F.lit(end))
+
+
 num = lambda *c: F.concat_ws(" ", *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in c])
 
 
@@ -80,7 +86,7 @@ def _(fx):
 
 @query("scan_gauges", "select concat('g', gauge%4) as run, gauge, gauge*1e0 as x, gauge*0.5e0 as y, 'stationary' as kind, 1 as level, t, q1, q1*2 as q2 from series")
 def _(fx):
-    name = F.concat(F.lit("out/gauge"), F.lpad(F.col("gauge").cast("string"), 5, "0"), F.lit(".txt"))
+    name = F.concat(F.lit("out/"), gauge_file(".txt"))
     run = F.concat(F.lit("g"), (F.col("gauge") % 4).cast("string"))
     head = fx.series.select("gauge").distinct().select(
         run.alias("run"), name.alias("file"),
@@ -286,14 +292,13 @@ def _(fx):
 @query("scan_gauges_binary", "select concat('g', gauge%4) as run, gauge, gauge*1e0 as x, gauge*0.5e0 as y, 'stationary' as kind, 1 as level, t, q1, q1*2 as q2 from series")
 def _(fx):
     path, run = scratch(fx, "gauges"), F.concat(F.lit("g"), (F.col("gauge") % 4).cast("string"))
-    name = lambda end: F.concat(F.lit("gauge"), F.lpad(F.col("gauge").cast("string"), 5, "0"), F.lit(end))
     rows = fx.series.select(run.alias("run"), "gauge", F.lit(1.0).alias("level"), "t", "q1", (F.col("q1") * 2).alias("q2"))
-    payloads(rows, ["t"], ["level", "t", "q1", "q2"], path, name(".bin"))
+    payloads(rows, ["t"], ["level", "t", "q1", "q2"], path, gauge_file(".bin"))
     head = F.array(
         F.concat(F.lit("# gauge_id= "), F.col("gauge").cast("string"), F.lit(" location=( "), num(F.col("gauge") * 1.0, F.col("gauge") * 0.5), F.lit(" ) num_eqn= 2")),
         F.lit("# Stationary gauge"), F.lit("# level, time, q[ 1 2], eta"), F.lit("# file format: binary64, time series in .bin file"),
     )
-    put_named(fx.series.select("gauge").distinct().select(run.alias("run"), name(".txt").alias("name"), F.posexplode(head).alias("line_no", "text")), path)
+    put_named(fx.series.select("gauge").distinct().select(run.alias("run"), gauge_file(".txt").alias("name"), F.posexplode(head).alias("line_no", "text")), path)
     return text.scan_gauges(fx.spark, path).select("run", "gauge", "x", "y", "kind", "level", "t", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
 
 
