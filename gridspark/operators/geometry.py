@@ -389,7 +389,7 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
     `geometry(source, x0, y0, dx, dy, nx, ny)` gives node positions, `sources(source, i,
     j, z)` the nodes; both may carry field keys. A target cell is cut at the node lines of the sources that reach
     it; a piece lies in one source cell, where the surface's mean is its centre
-    value. Cells not fully covered have `covered` false.
+    value. Cells not fully covered have `covered` false. Fields of one arrangement of sources share the cutting.
     """
 
     by = grain(geometry)
@@ -419,8 +419,9 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("_ys")))).alias("_ys"),
     )
     pieces = lambda c: F.explode(F.arrays_zip(F.slice(c, F.lit(1), F.size(c) - 1).alias("a"), F.slice(c, F.lit(2), F.size(c) - 1).alias("b")))
-    p = per_cell.select(*by, "ti", "tj", "_src", "_ys", pieces("_xs").alias("_px"))
-    p = p.select(*by, "ti", "tj", "_src", "_px", pieces("_ys").alias("_py"))
+    kind = ["ti", "tj", "_src"]
+    p = per_cell.select(*kind, "_xs", "_ys").distinct().select(*kind, "_ys", pieces("_xs").alias("_px"))
+    p = p.select(*kind, "_px", pieces("_ys").alias("_py"))
     p = p.withColumns({
         "x": (F.col("_px.a") + F.col("_px.b")) / 2, "y": (F.col("_py.a") + F.col("_py.b")) / 2,
         "_area": (F.col("_px.b") - F.col("_px.a")) * (F.col("_py.b") - F.col("_py.a")),
@@ -436,11 +437,13 @@ def cell_average(sources: DataFrame, geometry: DataFrame, target: Geometry) -> D
         (a + di).cast("int").alias("i"), (b + dj).cast("int").alias("j"),
         (F.col("_area") * (fx - a if di else 1 - (fx - a)) * (fy - b if dj else 1 - (fy - b))).alias("_w"),
     )
-    p = p.select(*by, "ti", "tj", F.col("_s.source").alias("source"), F.inline(F.array(one(0, 0), one(1, 0), one(0, 1), one(1, 1))))
+    p = p.select(*kind, F.col("_s.source").alias("source"), F.inline(F.array(one(0, 0), one(1, 0), one(0, 1), one(1, 1))))
     # Shares of one node add up before the join: far fewer rows meet the node table.
-    p = p.groupBy(*by, "ti", "tj", "source", "i", "j").agg(F.sum("_w").alias("_w"))
+    p = p.groupBy(*kind, "source", "i", "j").agg(F.sum("_w").alias("_w"))
+    # The planner cannot tell how many rows the cuts make: neither they nor the shares of all fields may pass for a small table to broadcast.
+    p = per_cell.select(*by, *kind).hint("merge").join(p.hint("merge"), kind).drop("_src").hint("merge")
     full = target.dx * target.dy
-    return p.join(sources.select(*by, "source", "i", "j", "z"), [*by, "source", "i", "j"]).groupBy(*by, "ti", "tj").agg(
+    return p.join(sources.select(*by, "source", "i", "j", "z").hint("merge"), [*by, "source", "i", "j"]).groupBy(*by, "ti", "tj").agg(
         (F.sum(F.col("_w") * F.col("z")) / F.sum(F.when(F.col("z").isNotNull(), F.col("_w")))).alias("mean"),
         (F.abs(F.sum(F.when(F.col("z").isNotNull(), F.col("_w")).otherwise(F.lit(0.0))) - full) <= 1e-9 * full).alias("covered"),
     ).withColumnsRenamed({"ti": "i", "tj": "j"})
