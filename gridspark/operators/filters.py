@@ -195,7 +195,8 @@ def overlapping(domains: DataFrame, runs: DataFrame, bin_size: float) -> DataFra
     meet = (d("xmax") > r("xmin")) & (d("xmin") < r("xmax")) & (d("ymax") > r("ymin")) & (d("ymin") < r("ymax"))
     same = (d("crs") == r("crs")) | (d("crs") == "") | (r("crs") == "")
     pairs = a.join(b, ["_bx", "_by"]).where(home & meet & same).select(*shape("domain"), *shape("run"))
-    return domains.join(pairs, shape("domain")).join(runs, shape("run")).select("domain", "run")
+    # Small tables of few rectangles make very many pairs: domains are dealt by rectangle, or one task would unfold all of them.
+    return domains.hint("merge").join(pairs, shape("domain")).join(runs, shape("run")).select("domain", "run")
 
 
 def wet_mask(frames: DataFrame, wet: float = schema.WET_DEPTH, vel: float = schema.VELOCITY_DEPTH) -> DataFrame:
