@@ -7,10 +7,12 @@ systems, which know local and shared paths and the usual stores by their URI.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import unquote
+from fnmatch import fnmatchcase
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +96,124 @@ def put_text(df: DataFrame, path: str, by: str, file: Column, *order: str, heade
     put_files(df, path, by, file, order, ["text"], lambda part: ("\n".join(part["text"].to_pylist()) + "\n").encode(), header)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark's readers would give it."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if path.startswith("file:") or ("://" not in path and default.startswith("file:")):
+        return "file:" + encoded(os.path.abspath(re.sub("^file:/+", "/", path)))
+    return path if "://" in path else default.rstrip("/") + "/" + path.lstrip("/")
+
+
+def encoded(path: str) -> str:
+    """A path as it stands in the URIs that Spark gives."""
+    return re.sub("[\x00-\x7f]", lambda m: quote(m[0], safe="/!$&'()*+,;=:@~"), path)
+
+
+def known(path: str, glob: str) -> bool:
+    """Whether tasks can list a path by themselves: Arrow's file systems know it, and no pattern is in it that only Hadoop's clients read."""
+    if re.search(r"[*?{\[\\]", path) or re.search(r"[{\\^]", glob):
+        return False
+    try:
+        located(path)
+    except Exception:  # noqa: BLE001 - whichever way a store says that it is unknown
+        return False
+    return True
+
+
+def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, whether it is a folder, bytes) of what lies in a folder, one by one where the system allows; hidden as Spark's readers do it."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            rows = ((e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in found)
+            yield from (r for r in rows if shown(r[0]))
+        return
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if shown(info.base_name):
+            yield info.base_name, info.type == fs.FileType.Directory, info.size
+
+
+def shown(name: str) -> bool:
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def below(system: fs.FileSystem, folder: str, uri: str) -> Iterator[tuple[str, str, int]]:
+    """(path, URI, bytes) of all files below a folder."""
+    for name, is_folder, size in entries(system, folder):
+        at = (f"{folder}/{name}", f"{uri}/{encoded(name)}")
+        if is_folder:
+            yield from below(system, *at)
+        else:
+            yield (*at, size)
+
+
+#: Files or names a batch holds, and bytes it holds, at most (fixed values); a single file may be longer.
+BATCH, BATCH_BYTES = 4096, 4 << 20
+
+
+def files_below(spark: SparkSession, path: str, glob: str, content: bool = False) -> DataFrame:
+    """(file, length), with `content` also `value`, the whole text, of the matching files below `path` that are not empty.
+
+    One task names what lies in `path` itself, all tasks look into the folders there: no list of files reaches the driver."""
+    if not known(path, glob):
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        raw = reader.option("wholetext", True).text(path) if content else reader.format("binaryFile").load(path)
+        length = F.col("_metadata.file_size").alias("length")
+        return raw.select(F.col("_metadata.file_path").alias("file"), length, *(["value"] if content else []))
+
+    path = qualified(spark, path)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(path)
+        for batch in batches:
+            names, folders = [], []
+            for _ in range(batch.num_rows):
+                for name, is_folder, _size in entries(system, root):
+                    names.append(name), folders.append(is_folder)
+                    if len(names) == BATCH:
+                        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "folder": pa.array(folders, pa.bool_())})
+                        names, folders = [], []
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "folder": pa.array(folders, pa.bool_())})
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(path)
+
+        def found() -> Iterator[tuple[str, str, int]]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    at = (f"{root.rstrip('/')}/{row['name']}", f"{path.rstrip('/')}/{encoded(row['name'])}")
+                    if row["folder"]:
+                        yield from below(system, *at)
+                    else:
+                        yield (*at, system.get_file_info(at[0]).size)
+
+        def made(rows: list) -> pa.RecordBatch:
+            file, length, value = zip(*rows) if rows else ((), (), ())
+            out = {"file": pa.array(file, pa.string()), "length": pa.array(length, pa.int64())}
+            return pa.RecordBatch.from_pydict(out | ({"value": pa.array(value, pa.string())} if content else {}))
+
+        rows, size = [], 0
+        for at, uri, length in found():
+            if not length or not fnmatchcase(at.rsplit("/", 1)[1], glob):
+                continue
+            value = None
+            if content:
+                with system.open_input_stream(at) as source:
+                    value = source.read().decode(errors="replace")
+                size += len(value)
+            rows.append((uri, length, value))
+            if len(rows) == BATCH or size >= BATCH_BYTES:
+                yield made(rows)
+                rows, size = [], 0
+        yield made(rows)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.range(0, 1, 1, 1).mapInArrow(top, "name string, folder boolean").repartition(tasks, "name")
+    return names.mapInArrow(look, "file string, length long" + (", value string" if content else ""))
+
+
 def listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(run, file, bytes) of the matching files below `path`; no content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    file = F.col("_metadata.file_path")
-    return raw.select(run_of(file).alias("run"), file.alias("file"), F.col("length").alias("bytes"))
+    return files_below(spark, path, glob).select(run_of().alias("run"), "file", F.col("length").alias("bytes"))
 
 
 def pieces(plan: DataFrame, rows: str, per_row: str, offset: str, at_once: str) -> DataFrame:

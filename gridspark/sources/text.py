@@ -324,8 +324,9 @@ RUN_SCHEMA = "status string, crs string, rho double, origin string, created stri
 
 def scan_runs(spark: SparkSession, path: str, glob: str = "run.json") -> DataFrame:
     """Run markers and settings of all marker files, one small JSON object each; see `parse_runs`."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return parse_runs(raw.select(run_of(F.col("_metadata.file_path")).alias("run"), "value"))
+    from gridspark.sources.ranges import files_below
+
+    return parse_runs(files_below(spark, path, glob, content=True).select(run_of().alias("run"), "value"))
 
 
 def parse_runs(raw: DataFrame) -> DataFrame:
@@ -336,9 +337,9 @@ def parse_runs(raw: DataFrame) -> DataFrame:
 
 def scan_polygons(spark: SparkSession, path: str, glob: str = "*.geojson") -> DataFrame:
     """Polygon layers, one file each; see `parse_polygons`."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    name = stem_of(F.col("_metadata.file_path"))
-    return parse_polygons(raw.select(name.alias("run"), "value"))
+    from gridspark.sources.ranges import files_below
+
+    return parse_polygons(files_below(spark, path, glob, content=True).select(stem_of(F.col("file")).alias("run"), "value"))
 
 
 def parse_polygons(raw: DataFrame) -> DataFrame:
