@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gridspark.llm.common import Kept, components, mixed, printed, tested, tidy, with_ids
+from gridspark.llm.common import Kept, components, mixed, printed, tested, tidy, with_ids, without_ids
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, REACH = 5, 80
@@ -339,7 +339,7 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     stays. Of rows that repeat an id one stays."""
     kept = Kept(docs.sparkSession)
     members = kept.write(jaccard_join(docs, **options)[0].where("doc_id is not null").select("doc_id", "component_id", "n_rows").distinct())
-    rest = docs.join(members.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    rest = without_ids(docs, members.where("doc_id <> component_id").select("doc_id"), "doc_id")
     again = members.where("n_rows > 1").select("doc_id")
     if again.isEmpty():
         return rest
